@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketlens.llm.chat import format_chats, probe, read_back
+from basketlens.llm.decontaminate import decontaminate
+from basketlens.llm.fingerprint import fingerprints
+from basketlens.llm.mixing import mix
 from basketlens.llm.near_dedup import near_duplicates
+from basketlens.llm.quality import quality
+from basketlens.llm.secrets import scan
+from basketlens.llm.sharding import shards
+from basketlens.llm.tokens import token_counts
+from basketlens.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +27,43 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_chats(probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, hits = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"), hits["n_items"].alias("n_items"), hits["items_sha256"].alias("items_sha256"), hits["contaminated"].alias("contaminated"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_dedup": op1_near_dedup,
+    f.__name__: f for f in (op1_near_dedup, op2_quality, op3_mixing, op4_sharding, op5_token_counts, op6_chat_format, op7_toxicity, op8_decontaminate, op9_secrets, op10_fingerprints)
 }

@@ -75,7 +75,8 @@ def shingle_sets(texts: list[bytes | None], width: int, word_bytes: np.ndarray =
     hashes, first = word_hashes(texts, word_bytes)
     joined = hashes.copy()
     for j in range(1, width):
-        joined[: hashes.size - j] = mix(joined[: hashes.size - j] * _U(0x9FB21C651E98DF25) + hashes[j:])
+        n = max(0, hashes.size - j)
+        joined[:n] = mix(joined[:n] * _U(0x9FB21C651E98DF25) + hashes[j:])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
