@@ -29,6 +29,39 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, d
 FROM sets LEFT JOIN least_of ON a = doc_id
 """
 
+OP6 = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+    SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?(?:INST|SYS|TURN|TEXT)\]|/?s>)', '\1\\\2\3', 'g'))
+        + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+          ELSE 23 + length(regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|TURN|TEXT)\]|/?s>)', '\1\\\2\3', 'g')) END AS n
+    FROM c
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n) AS n
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g
+"""
+
+_ALNUM = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, m, array_to_string(w[i + 1 : i + m], ' ') AS g FROM (SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0), LATERAL (SELECT unnest(range(0, len(w) - m + 1)) AS i)),
+grams AS (SELECT doc_id, i, m, array_to_string(w[i + 1 : i + m], ' ') AS g FROM (SELECT * FROM d, (SELECT DISTINCT m FROM wins) WHERE len(w) >= m), LATERAL (SELECT unnest(range(0, len(w) - m + 1)) AS i)),
+found AS (SELECT doc_id, i, m, item FROM grams JOIN wins USING (m, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1,
+    "op6_chat_format": OP6,
+    "op8_decontaminate": OP8,
 }
