@@ -1,5 +1,5 @@
 """The registered queries; importing this package registers all of them."""
 
-from basketlens.plans import activity, extraction, ingest, listing, ordered, pricing, reports, text
+from basketlens.plans import activity, catalog, extraction, ingest, listing, ordered, pricing, reports, shop, text
 
-__all__ = ["activity", "extraction", "ingest", "listing", "ordered", "pricing", "reports", "text"]
+__all__ = ["activity", "catalog", "extraction", "ingest", "listing", "ordered", "pricing", "reports", "shop", "text"]

@@ -43,3 +43,27 @@ def test_waterfall_and_limits(spark):
     allowed = {r.event_id: r.allowed for r in windowed_limit(events, "k", 2, 7).collect()}
     assert [i for i, ok in sorted(allowed.items()) if ok] == [0, 1, 4, 5, 8, 9]
     assert spark.range(1).select(decode_entities(F.lit("&lt;a&gt; &amp;amp;")).alias("x")).first()["x"] == "<a> &amp;"
+
+
+def test_sitemaps_and_saved_pages(spark, tmp_path):
+    import gzip
+
+    from basketlens.sources.html import links, tag_texts
+    from basketlens.sources.sitemap import saved_pages, sitemap_ids
+
+    with gzip.open(tmp_path / "s.xml.gz", "wt") as f:
+        f.write("<urlset><url><loc>https://x/c/milk/s123</loc></url><url><loc>https://x/c/b/9</loc></url><url><loc>https://x/p/7</loc></url></urlset>")
+    assert sorted(r.id for r in sitemap_ids(spark, str(tmp_path / "s.xml.gz")).collect()) == ["123", "9"]
+    (tmp_path / "p.html").write_text('<h1>A <b>b</b> &amp; c</h1><a class="x" href="/m">M</a>')
+    (r,) = saved_pages(spark, str(tmp_path / "p.html")).select(tag_texts(F.col("html"), "h1").alias("t"), links(F.col("html")).alias("a")).collect()
+    assert r.t == ["A  b  & c"] and [tuple(a) for a in r.a] == [("/m", "M")]
+
+
+def test_validation(spark):
+    from basketlens.functions.validate import extracted_item, local_timestamp
+
+    rows = spark.createDataFrame([(" Milk ", "1,20 €", "1,50", None), ("", "2", None, "x"), ("Tea", "free", None, "x"), ("Oil", "7.5", "5", "")], "name string, price string, original string, category string")
+    got = [tuple(r) for r in extracted_item(rows).collect()]
+    assert got[0] == ("Milk", 1.2, 1.5, "Άλλο", True) and [g[-1] for g in got] == [True, False, False, True] and got[3][2] is None
+    x = spark.range(1).select(local_timestamp(F.lit("31/05/2026 20:59:00")).alias("a"), local_timestamp(F.lit("31/05/2026")).alias("b"), local_timestamp(F.lit("x")).alias("c")).first()
+    assert (x.a.hour, x.b.day, x.b.hour, x.c) == (17, 30, 21, None)
