@@ -19,7 +19,6 @@ searched block by block over all rows and the hits of a row are merged, so the b
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -30,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.llm.shared import free_name
+from basketlens.llm.text_hash import released
 
 WINDOW = 10
 PATTERN_BLOCK = 1_000_000
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -117,30 +117,23 @@ def _searcher(spark, patterns: dict[tuple[bytes, ...], list[str]]):
     @F.arrow_udf(_HITS)
     def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         wu = WuManber(shared.value)
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-        for batch in texts:
+        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+        for batch in released(texts):
             rows = []
             for t in batch:
                 w = words(t.as_py())
                 spans, items = wu.search(w)
-                rows.append({"n_words": len(w), "spans": [x for s in merged(spans) for x in s], "items": sorted(items)})
+                rows.append({"n_words": len(w), "spans": [{"a": a, "b": b} for a, b in merged(spans)], "items": sorted(items)})
             yield pa.array(rows, kind)
 
     return search
 
 
-_DIGEST = T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())])
-
-
-@F.arrow_udf(_DIGEST)
-def _merge_blocks(spans: pa.Array, items: pa.Array) -> pa.Array:
-    """Over the blocks of patterns (lists of each block's results): words hit, items, digest of the items' ids."""
-    out = []
-    for s, i in zip(spans.to_pylist(), items.to_pylist(), strict=True):
-        hit = merged((x[k], x[k + 1]) for x in s for k in range(0, len(x), 2))
-        ids = sorted({x for y in i for x in y})
-        out.append({"n_hit": sum(b - a for a, b in hit), "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest()})
-    return pa.array(out, pa.struct([("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())]))
+def _hit_words(spans: Column) -> Column:
+    """Words under the union of spans (structs of a, b): the blocks' spans in order, each counted beyond the last end."""
+    begin = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    add = lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n"))
+    return F.aggregate(F.sort_array(spans), begin, add, lambda acc: acc["n"])
 
 
 def _pattern_blocks(benchmark: DataFrame, window: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
@@ -164,11 +157,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = [_searcher(documents.sparkSession, p)(text) for p in _pattern_blocks(benchmark, window)]
     names = [free_name(documents, f"_block_{i}") for i in range(len(found))]
     out = documents.select("*", *(f.alias(n) for f, n in zip(found, names, strict=True)))
-    digest = free_name(documents, "_digest")
-    out = out.withColumn(digest, _merge_blocks(F.array(*(F.col(f"{n}.spans") for n in names)), F.array(*(F.col(f"{n}.items") for n in names))))
-    d = F.col(digest)
-    out = out.withColumn(name, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), d["n_hit"].alias("n_hit"), d["n_items"].alias("n_items"), d["items_sha256"].alias("items_sha256"), (d["n_hit"] > 0).alias("contaminated")))
-    return out.drop(digest, *names), F.col(name)
+    n_hit = _hit_words(F.concat(*(F.col(n)["spans"] for n in names)))
+    items = F.array_sort(F.array_distinct(F.concat(*(F.col(n)["items"] for n in names))))
+    digest = F.sha2(F.array_join(items, ","), 256)
+    out = out.withColumn(name, F.struct(F.col(names[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated")))
+    return out.drop(*names), F.col(name)
 
 
 def sql_word_pattern() -> str:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.text_hash import mix
+from basketlens.llm.text_hash import mix, released
 
 KEEP = 64
 FIRST = 3
@@ -182,7 +182,7 @@ def _spans(cuts: list[int]):
     """mapInArrow over (doc_id): the least id and the number of nulls of each range that a batch has rows of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids = batch.column(0).to_pylist()
             low: dict[int, list] = {}
             for r, i in zip(_ranges(cuts, ids).tolist(), ids, strict=True):
@@ -201,7 +201,7 @@ def _route(cuts: list[int], firsts: dict[int | None, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in released(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             where = _ranges(cuts, ids).tolist()
             packed = [pack(t or b"") for t in texts]
@@ -234,7 +234,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int | None, bytes]]:
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in released(batches):
         for r, tail, i, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             yield r, tail, i, unpack(p)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.shared import BROADCAST_ROWS
-from basketlens.llm.text_hash import chunks, word_hashes
+from basketlens.llm.text_hash import chunks, released, word_hashes
 
 TRAIN_DOCS = 4_000
 STEPS = 150
@@ -164,7 +164,7 @@ def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = STE
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         texts = batch.column(0).to_pylist()
         for i, t in enumerate(texts):
             x, _, n = line_features([t])
@@ -192,7 +192,7 @@ def score_udf(documents: DataFrame, model: Model):
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for t in texts:
+        for t in released(texts):
             yield pa.array(sent.value.scores(t.to_pylist()))
 
     return score

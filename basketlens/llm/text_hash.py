@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -34,6 +37,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; after each, memory that the last one has freed goes back to the system, as workers live on between tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.llm.text_hash import released
+
 SPACE = "▁"
 UNKNOWN = 10.0
 CACHE = 300_000
@@ -123,7 +125,7 @@ def count_udf(documents: DataFrame, vocabulary: Vocabulary):
     @F.arrow_udf(_RESULT)
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(sent.value)
-        for t in texts:
+        for t in released(texts):
             found = [counter.count(x.as_py()) for x in t]
             yield pa.StructArray.from_arrays([pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], ["n_tokens", "score"])
 
