@@ -13,6 +13,7 @@ from basketlens.functions.num import half_up
 #: Frozen clocks: the offers' and the events' "now".
 OFFERS_NOW = "1998-09-02 00:00:00"
 EVENTS_NOW = "2024-01-31 00:00:00"
+VALID_DAYS = 14
 #: A chain whose offers are public only if they show a struck price.
 HIDDEN_CHAIN = "MIDDLE EAST"
 
@@ -51,7 +52,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("source"),
         (F.col("l_linestatus") == "O").alias("active"),
         F.col("l_shipdate").alias("created_at"),
-        (F.col("l_shipdate") + F.expr("INTERVAL 14 DAYS")).alias("valid_until"),
+        (F.col("l_shipdate") + F.make_interval(days=F.lit(VALID_DAYS))).alias("valid_until"),
         F.col("l_quantity").cast("int").alias("qty"),
     )
     return rows.join(sellers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
@@ -96,8 +97,8 @@ def visible(keep_null_chain: bool = False):
 
 
 def live():
-    """Active and not expired at OFFERS_NOW."""
-    return F.col("active") & (F.col("valid_until") > ts(OFFERS_NOW))
+    """Active and not expired at OFFERS_NOW. Offers run for VALID_DAYS, so the test is on the stored date and reaches the scan."""
+    return F.col("active") & (F.col("created_at") > ts(OFFERS_NOW) - F.make_interval(days=F.lit(VALID_DAYS)))
 
 
 CTES = {

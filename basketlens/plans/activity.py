@@ -66,7 +66,7 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks(spark, sf_dir).select("session_id", gap.alias("gap")).groupBy("session_id").agg(F.count("*").alias("n"), F.max("gap").alias("longest_us"))
 
 
-@register("daily_windows", sql("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS cents FROM clicks GROUP BY ALL"))
+@register("daily_windows", sql("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM clicks GROUP BY ALL"))
 def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.window("ts", "1 day")
     return clicks(spark, sf_dir).groupBy("event_type", day).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cents")).select("event_type", F.col("window.start").alias("day"), "n", "cents")

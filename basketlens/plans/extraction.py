@@ -62,7 +62,7 @@ def geography_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("check_digits", sql("""WITH c AS (SELECT product_id, lpad(CAST(product_id * 7919 AS VARCHAR), 12, '5') AS d FROM products)
-    SELECT product_id, (10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(d, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS digit FROM c"""))
+    SELECT product_id, CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(d, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS BIGINT) AS digit FROM c"""))
 def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.lpad((F.col("p_partkey") * 7919).cast("string"), 12, "5")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), gtin13_check_digit(d).cast("long").alias("digit"))

@@ -102,6 +102,6 @@ def catalog_ingest_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("rejected"))
 
 
-@register("run_log", sql("SELECT feed, count(*) AS n_runs, sum(scraped) AS scraped, count(*) FILTER (WHERE NOT healthy) AS unhealthy FROM runs GROUP BY feed"))
+@register("run_log", sql("SELECT feed, count(*) AS n_runs, CAST(sum(scraped) AS BIGINT) AS scraped, count(*) FILTER (WHERE NOT healthy) AS unhealthy FROM runs GROUP BY feed"))
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).groupBy("feed").agg(F.count("*").alias("n_runs"), F.sum("scraped").alias("scraped"), F.count_if(~F.col("healthy")).alias("unhealthy"))

@@ -164,18 +164,19 @@ def favourites(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (3, 8, 2
     return live_offers(spark, sf_dir).where(hit).orderBy(F.desc("pct"), F.asc("offer_id")).limit(30).select("offer_id", "product_id", "product_name")
 
 
-@register("percent_of_struck_price", sql("SELECT offer_id, CASE WHEN original_price > price THEN CAST(floor((1 - price / original_price) * 100 + 0.5) AS INTEGER) END AS percent FROM offers"))
+@register("percent_of_struck_price", sql("SELECT offer_id, CAST(floor((1 - price / original_price) * 100 + 0.5) AS INTEGER) AS percent FROM offers WHERE original_price > price"))
 def percent_of_struck_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketlens.functions.num import percent_off
 
-    return offers(spark, sf_dir).select("offer_id", percent_off(F.col("price"), F.col("original_price")).alias("percent"))
+    return offers(spark, sf_dir).select("offer_id", percent_off(F.col("price"), F.col("original_price")).alias("percent")).where("percent is not null")
 
 
-@register("null_order", sql("SELECT feed, run_id, score, row_number() OVER (PARTITION BY feed ORDER BY score DESC NULLS FIRST, run_id) AS rn FROM (SELECT feed, run_id, CASE WHEN healthy THEN scraped END AS score FROM runs)"))
+@register("null_order", sql("SELECT feed, run_id, coalesce(score, -1) AS score, row_number() OVER (PARTITION BY feed ORDER BY score DESC NULLS FIRST, run_id) AS rn FROM (SELECT feed, run_id, CASE WHEN healthy THEN scraped END AS score FROM runs)"))
 def null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descending order with nulls first, as the review queue has it."""
     rows = runs(spark, sf_dir).select("feed", "run_id", F.when(F.col("healthy"), F.col("scraped")).alias("score"))
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc_nulls_first("score"), F.asc("run_id"))))
+    rn = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc_nulls_first("score"), F.asc("run_id")))
+    return rows.select("feed", "run_id", F.coalesce("score", F.lit(-1)).alias("score"), rn.alias("rn"))
 
 
 @register("rounded_prices", sql("SELECT offer_id, floor(price * 10 + 0.5) / 10 AS price_1, floor(-price + 0.5) AS negative FROM offers"))

@@ -58,11 +58,11 @@ def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~F.col("price").eqNullSafe(F.col("before"))).select("product_id", "chain", "recorded_at", "run_id", "line", "price", "before")
 
 
-@register("collision_owner", sql("SELECT offer_id, CASE WHEN rn = 1 THEN product_id END AS product_id FROM (SELECT offer_id, product_id, row_number() OVER (PARTITION BY product_id, chain, source ORDER BY created_at, offer_id) AS rn FROM live_offers)"))
+@register("collision_owner", sql("SELECT offer_id, CASE WHEN rn = 1 THEN product_id ELSE -1 END AS product_id FROM (SELECT offer_id, product_id, row_number() OVER (PARTITION BY product_id, chain, source ORDER BY created_at, offer_id) AS rn FROM live_offers)"))
 def collision_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first offer of a run owns the product in its chain and source; the others lose the link."""
+    """The first offer of a run owns the product in its chain and source; the others lose the link (-1)."""
     w = Window.partitionBy("product_id", "chain", "source").orderBy("created_at", "offer_id")
-    return live_offers(spark, sf_dir).select("offer_id", F.when(F.row_number().over(w) == 1, F.col("product_id")).alias("product_id"))
+    return live_offers(spark, sf_dir).select("offer_id", F.when(F.row_number().over(w) == 1, F.col("product_id")).otherwise(-1).alias("product_id"))
 
 
 @register("first_and_last_per_key", sql("SELECT product_id, chain, arg_min(offer_id, ROW(created_at, offer_id)) AS first_offer, arg_max(offer_id, ROW(created_at, offer_id)) AS last_offer FROM live_offers GROUP BY product_id, chain"))

@@ -30,9 +30,9 @@ def judged_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verdict", verdict(F.col("price"), F.col("low"), F.col("high"), F.col("mean"), F.col("points")))
 
 
-@register("price_verdicts", sql(f"WITH {_STATS} SELECT offer_id, price, low, points, {_VERDICT} AS verdict, CASE WHEN low > 0 THEN floor((price - low) / low * 100 * 10 + 0.5) / 10 ELSE 0 END AS above FROM live_offers LEFT JOIN stats USING (product_id)"))
+@register("price_verdicts", sql(f"WITH {_STATS} SELECT offer_id, price, low, coalesce(points, 0) AS points, {_VERDICT} AS verdict, CASE WHEN low > 0 THEN floor((price - low) / low * 100 * 10 + 0.5) / 10 ELSE 0 END AS above FROM live_offers LEFT JOIN stats USING (product_id)"))
 def price_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged_offers(spark, sf_dir).select("offer_id", "price", "low", "points", "verdict", percent_above(F.col("price"), F.col("low")).alias("above"))
+    return judged_offers(spark, sf_dir).select("offer_id", "price", "low", F.coalesce("points", F.lit(0)).alias("points"), "verdict", percent_above(F.col("price"), F.col("low")).alias("above"))
 
 
 @register("verdict_tally", sql(f"WITH {_STATS} SELECT coalesce({_VERDICT}, 'none') AS verdict, count(*) AS n FROM live_offers LEFT JOIN stats USING (product_id) GROUP BY 1"))
@@ -105,9 +105,9 @@ def cluster_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("similar_names", None)
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct product names of one category that pass the variant, quantity and similarity guards."""
-    names = products(spark, sf_dir).select("category", F.col("product_name").alias("name")).distinct()
-    return comparable_pairs(names, "category", "name")
+    """Pairs of distinct names (with brand) of one category and brand that pass the variant, quantity and similarity guards."""
+    names = products(spark, sf_dir).select(F.concat_ws("/", "category", "brand").alias("block"), F.concat_ws(" ", "product_name", "brand").alias("name")).distinct()
+    return comparable_pairs(names, "block", "name")
 
 
 @register("token_candidates", sql("""WITH q AS (SELECT 'q1' AS id, ['small', 'red', 'bolt'] AS ts UNION ALL SELECT 'q2', ['hot', 'gear', 'hot'] UNION ALL SELECT 'q3', ['nothing']),

@@ -205,7 +205,7 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("g = 0").select(F.col("chain").alias("top"), F.col("category").alias("grp"), F.col("product_name").alias("leaf"), "n", "level", "sample")
 
 
-@register("basket_totals", sql("SELECT chain, sum(CAST(floor(price * 100 + 0.5) AS BIGINT) * qty) AS subtotal_cents, sum(CAST(floor((coalesce(original_price, price) - price) * 100 + 0.5) AS BIGINT) * qty) AS saved_cents, max(pct) AS biggest FROM live_offers WHERE product_id % 50 = 3 GROUP BY chain"))
+@register("basket_totals", sql("SELECT chain, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS subtotal_cents, CAST(sum(CAST(floor((coalesce(original_price, price) - price) * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS saved_cents, max(pct) AS biggest FROM live_offers WHERE product_id % 50 = 3 GROUP BY chain"))
 def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A basket's subtotal and savings by chain, in whole cents."""
     cents = lambda x: F.floor(x * 100 + 0.5).cast("long")
