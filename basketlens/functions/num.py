@@ -44,11 +44,8 @@ def normalize_barcode(raw: Column) -> Column:
 
 
 def string_hash(key: Column) -> Column:
-    """The 32-bit h = 31 * h + c hash over UTF-16 units of strings in the basic plane."""
-    unit = lambda i: F.conv(F.hex(F.encode(F.substring(key, i, 1), "UTF-16BE")), 16, 10).cast("long")
-    codes = F.when(F.length(key) > 0, F.transform(F.sequence(F.lit(1), F.length(key)), unit)).otherwise(F.array().cast("array<bigint>"))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % 4294967296)
-    return F.when(h >= 2147483648, h - 4294967296).otherwise(h)
+    """The 32-bit h = 31 * h + c hash over UTF-16 units, which is the JVM's own hash of a string; 0 for null."""
+    return F.java_method(F.lit("java.util.Objects"), F.lit("hashCode"), key).cast("long")
 
 
 def jitter(key: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,11 +64,15 @@ def overlap_count(a: Column, b: Column) -> Column:
     return F.size(F.filter(a, lambda t: F.array_contains(b, t)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(s: Column, terms: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | s.contains(t)
-    return hit
+    """One alternation, so that the text is made and scanned once."""
+    quoted = [re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t) for t in terms]
+    return s.rlike("|".join(quoted)) if quoted else F.lit(False)
 
 
 def parse_euro(s: Column) -> Column:

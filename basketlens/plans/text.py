@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.bindings import live_offers, products, sql, table
 from basketlens.functions.scores import alert_matches, relevance, search_terms
-from basketlens.functions.text import ACCENTED, PLAIN, escape_html, fold, mirror_path, overlap_count, tokens, word_tokens
+from basketlens.functions.text import ACCENTED, PLAIN, contains_any, escape_html, fold, mirror_path, overlap_count, tokens, word_tokens
 from basketlens.registry import register
 
 _FOLD = f"translate(lower(%s), '{ACCENTED}', '{PLAIN}')"
@@ -21,10 +21,8 @@ def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("accent_insensitive_search", f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD % 'text'}, 'reaux') OR contains({_FOLD % 'text'}, 'cion que')")
 def accent_insensitive_search(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("réaux", "ción que")) -> DataFrame:
-    hit, text = F.lit(False), fold(F.col("text"))
-    for t in terms:
-        hit = hit | text.contains(fold(F.lit(t)))
-    return table(spark, sf_dir, "documents").where(hit).select("doc_id", "lang")
+    folded = [r["t"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(fold(F.col("t")).alias("t")).collect()]
+    return table(spark, sf_dir, "documents").where(contains_any(fold(F.col("text")), folded)).select("doc_id", "lang")
 
 
 @register("search_offers", sql("""WITH r AS (SELECT offer_id, CASE WHEN regexp_matches(product_name, '(^|[^a-z0-9])bolt([^a-z0-9]|$)') THEN 100 WHEN regexp_matches(product_name, '(^|[^a-z0-9])bolt') THEN 70 WHEN contains(lower(category), 'bolt') THEN 10 ELSE 0 END AS best, category, pct FROM live_offers)
