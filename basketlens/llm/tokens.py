@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -39,11 +40,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     pieces: dict[str, float]
     has_bytes: bool
 
+    @cached_property
+    def counter(self) -> Counter:
+        """One counter a worker: it lives as long as the broadcast vocabulary, so tasks that follow find known words."""
+        return Counter(self)
+
 
 def read_vocabulary(path: str = MODEL) -> Vocabulary:
     """Scores of the ordinary pieces of a SentencePiece model file."""
@@ -124,7 +130,7 @@ def count_udf(documents: DataFrame, vocabulary: Vocabulary):
 
     @F.arrow_udf(_RESULT)
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(sent.value)
+        counter = sent.value.counter
         for t in released(texts):
             found = [counter.count(x.as_py()) for x in t]
             yield pa.StructArray.from_arrays([pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], ["n_tokens", "score"])
