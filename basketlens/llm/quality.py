@@ -181,9 +181,11 @@ def train(documents: DataFrame, labels: DataFrame, fold: Column, limit: int = TR
     rows = sample.mapInArrow(_features, "quality int, n_lines long, x binary").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(1), np.zeros((2, 2)), trained=False)
-    n_lines = rows.column("n_lines").to_numpy()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(int(n_lines.sum()), -1).astype(float)
-    return fit(x, n_lines, rows.column("quality").to_numpy())
+    # in an order of their own, so that the sums of a fit do not depend on which task came first
+    own = sorted(zip(rows.column("n_lines").to_pylist(), rows.column("quality").to_pylist(), rows.column("x").to_pylist(), strict=True))
+    n_lines, marks = np.array([r[0] for r in own]), np.array([r[1] for r in own])
+    x = np.frombuffer(b"".join(r[2] for r in own), dtype=np.float32).reshape(int(n_lines.sum()), -1).astype(float)
+    return fit(x, n_lines, marks)
 
 
 def score_udf(documents: DataFrame, model: Model):
