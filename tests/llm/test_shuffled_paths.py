@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.llm import mixing, quality, shared, toxicity
+from basketlens.llm import mixing, near_dedup, quality, shared, toxicity
 from basketlens.llm.near_dedup import near_duplicates
 
 
 @pytest.fixture
 def no_broadcast(monkeypatch):
-    for module in (mixing, quality, shared, toxicity):
+    for module in (mixing, near_dedup, quality, shared, toxicity):
         monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
 
 
