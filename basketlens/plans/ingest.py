@@ -80,7 +80,17 @@ def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("guarded_delete_counts", sql("SELECT p.product_id, count(o.offer_id) AS dependents FROM products p LEFT JOIN offers o USING (product_id) WHERE p.product_id < 50 GROUP BY p.product_id"))
 def guarded_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows depend on each product; a delete goes ahead only where there are none."""
-    return products(spark, sf_dir).where("product_id < 50").join(offers(spark, sf_dir), "product_id", "left").groupBy("product_id").agg(F.count("offer_id").alias("dependents"))
+    return _dependents(products(spark, sf_dir).where("product_id < 50"), offers(spark, sf_dir))
+
+
+@register("guarded_delete_counts_all", sql("SELECT p.product_id, count(o.offer_id) AS dependents FROM products p LEFT JOIN offers o USING (product_id) GROUP BY p.product_id"))
+def guarded_delete_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """guarded_delete_counts of every product."""
+    return _dependents(products(spark, sf_dir), offers(spark, sf_dir))
+
+
+def _dependents(rows: DataFrame, on: DataFrame) -> DataFrame:
+    return rows.join(on, "product_id", "left").groupBy("product_id").agg(F.count("offer_id").alias("dependents"))
 
 
 @register("baseline_ingest", sql("""WITH w AS (SELECT product_id, chain, price FROM (SELECT *, row_number() OVER (PARTITION BY product_id, chain ORDER BY run_id, line, recorded_at, price) AS rn FROM observations WHERE run_id >= 10000) WHERE rn = 1),

@@ -82,7 +82,16 @@ def parameterised_scan(spark: SparkSession, sf_dir: str, top: float = 20000.0) -
 @register("expanded_offers", sql("SELECT offer_id, product_name, brand, branch, chain FROM named_offers WHERE pct = 10 AND product_id < 200"))
 def expanded_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers with their relations as nested structs, as a reader would get them, flattened for output."""
-    rows = named_offers(spark, sf_dir).where((F.col("pct") == 10) & (F.col("product_id") < 200))
+    return _expanded(named_offers(spark, sf_dir).where((F.col("pct") == 10) & (F.col("product_id") < 200)))
+
+
+@register("expanded_offers_all", sql("SELECT offer_id, product_name, brand, branch, chain FROM named_offers"))
+def expanded_offers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """expanded_offers of every product and discount."""
+    return _expanded(named_offers(spark, sf_dir))
+
+
+def _expanded(rows: DataFrame) -> DataFrame:
     nested = rows.select("offer_id", F.struct("product_name", "brand").alias("product"), F.struct("chain", "branch").alias("store"))
     return nested.select("offer_id", "product.product_name", "product.brand", "store.branch", "store.chain")
 

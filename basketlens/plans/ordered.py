@@ -100,8 +100,18 @@ def rank_and_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("price_steps", sql("SELECT product_id, recorded_at, price, lead(recorded_at) OVER (PARTITION BY product_id ORDER BY recorded_at, run_id, line, price) AS until FROM observations WHERE product_id < 300"))
 def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price holds until the next observation."""
+    return _steps(observations(spark, sf_dir).where("product_id < 300"))
+
+
+@register("price_steps_all", sql("SELECT product_id, recorded_at, price, lead(recorded_at) OVER (PARTITION BY product_id ORDER BY recorded_at, run_id, line, price) AS until FROM observations"))
+def price_steps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """price_steps of every product."""
+    return _steps(observations(spark, sf_dir))
+
+
+def _steps(rows: DataFrame) -> DataFrame:
     until = F.lead("recorded_at").over(Window.partitionBy("product_id").orderBy("recorded_at", "run_id", "line", "price"))
-    return observations(spark, sf_dir).where("product_id < 300").select("product_id", "recorded_at", "price", until.alias("until"))
+    return rows.select("product_id", "recorded_at", "price", until.alias("until"))
 
 
 @register("aisle_preview", sql("SELECT category, offer_id, rn AS place, n - least(n, 6) AS remaining FROM (SELECT category, offer_id, row_number() OVER (PARTITION BY category ORDER BY pct DESC, price, offer_id) AS rn, count(*) OVER (PARTITION BY category) AS n FROM live_offers) WHERE rn <= 6"))

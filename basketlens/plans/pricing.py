@@ -87,6 +87,15 @@ def cheaper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cheaper_alternatives(rows.where("product_id < 500"), rows)
 
 
+@register("cheaper_alternatives_all", sql("""WITH c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving,
+    row_number() OVER (PARTITION BY s.offer_id ORDER BY a.price, a.offer_id) AS rn FROM live_offers s JOIN live_offers a ON a.product_id = s.product_id AND a.chain <> s.chain AND s.price - a.price >= 0.1)
+    SELECT offer_id, other, chain, saving FROM c WHERE rn = 1"""))
+def cheaper_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cheaper_alternatives for every live offer."""
+    rows = live_offers(spark, sf_dir)
+    return cheaper_alternatives(rows, rows)
+
+
 @register("cheapest_by_product", sql("SELECT product_id, arg_min(offer_id, ROW(price, offer_id)) AS offer_id, min(price) AS price FROM live_offers GROUP BY product_id"))
 def cheapest_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_offers(spark, sf_dir).groupBy("product_id").agg(F.min_by("offer_id", F.struct("price", "offer_id")).alias("offer_id"), F.min("price").alias("price"))
