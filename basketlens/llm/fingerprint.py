@@ -6,9 +6,9 @@ Semantics (`Parser`, `fingerprints`)
     (twice, which leaves few labels), and a phrase begins at each local maximum of the labels. The name of a phrase, a
     hash of its symbols, is a symbol of the next level. Labels depend on a few neighbours only, so equal substrings get
     equal names inside, at any offset. Parsing ends when one symbol is left.
-    The fingerprint holds the KEEP least names (32 bits, mixed with their level) of the phrases of level FIRST and up (from
-    level 1 in texts of fewer than SHORT code points) and of the last symbol, in hexadecimal; equal texts have equal fingerprints. The likeness of two fingerprints is the share
-    of the least KEEP names of their union that both hold, an estimate of the resemblance of the sets of phrases; two
+    The fingerprint holds the KEEP least names (32 bits, mixed with their level) of the phrases of level FIRST and up and of the
+    last symbol, in hexadecimal; texts of every length choose from the same levels, and equal texts have equal fingerprints.
+    The likeness of two fingerprints is the share of the least KEEP names of their union that both hold, an estimate of the resemblance of the sets of phrases; two
     empty texts have likeness 1, an empty text and another 0. A null text is empty. Repeated rows and ties in doc_id are
     ordered by their compressed texts; rows with a null doc_id come first. A single row is followed by itself.
 
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from basketlens.llm.text_hash import mix, released
 
 KEEP = 64
-FIRST = 2
-#: Texts of fewer code points have few phrases, so theirs count from level 1.
-SHORT = 200
+#: Short texts have few phrases, so they count from level 1; texts of every length do, so that all are comparable.
+FIRST = 1
 #: Rows of a range of doc_ids, about.
 RANGE_ROWS = 1_000
 CHUNK = 1 << 17
@@ -89,8 +88,8 @@ class Parser:
         start[first] = True
         return start
 
-    def names(self, symbols: np.ndarray, text: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names that fingerprints choose from, and the text of each; short: by text, whether level 1 counts."""
+    def names(self, symbols: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names that fingerprints choose from, and the text of each."""
         found, owner = [], []
         x, level = mix(symbols.astype(np.uint64) + _U(1)), 0
         while x.size:
@@ -99,7 +98,7 @@ class Parser:
             count = np.diff(np.append(first, x.size))
             salt = _U(0x9E3779B97F4A7C15 * (level + 1) % 2**64)
             done = np.repeat(count == 1, count)
-            take = np.ones(x.size, dtype=bool) if level >= FIRST else done | short[text] if level == 1 else done
+            take = np.ones(x.size, dtype=bool) if level >= FIRST else done
             found.append(mix(x[take] + salt))
             owner.append(text[take])
             if done.any():  # the last symbol stands for the whole text
@@ -125,7 +124,7 @@ class Parser:
         sizes = [t.size for t in texts]
         if not sum(sizes):
             return [np.zeros(0, np.uint32)] * len(texts)
-        names, owner = self.names(np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes), np.array(sizes) < SHORT)
+        names, owner = self.names(np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes))
         names = (names >> _U(32)).astype(np.uint32)
         # names are evenly spread, so the least KEEP of m are nearly always among those under 4 * KEEP / m of the range
         limit = np.minimum(2.0**32, 2.0**32 * 4 * KEEP / np.maximum(np.bincount(owner, minlength=len(texts)), 1))

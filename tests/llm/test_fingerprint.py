@@ -31,6 +31,16 @@ def test_batches_do_not_matter():
         assert fp._hex(together[i]) == parsed(texts[i])
 
 
+def test_near_copies_around_200_code_points():
+    rng = random.Random(6)
+    found = []
+    for _ in range(20):
+        long = "".join(rng.choice("abcdefghij ") for _ in range(205))
+        a, b = fp.Parser().sketches([fp.code_points(t.encode()) for t in (long[:195], long)])
+        found.append(fp.likeness(a, b))
+    assert sum(found) / len(found) > 0.7
+
+
 def verify(rows, docs):
     docs = sorted(docs, key=lambda d: d[0])
     got = {r.doc_id: r for r in rows}
