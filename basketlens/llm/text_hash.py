@@ -67,20 +67,28 @@ def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tupl
         yield begin, len(texts)
 
 
-def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and for each text the index of its first word (one more at the end)."""
+def word_spans(texts: list[bytes | None], word_bytes: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of all texts in order: 64-bit hashes, first and last-but-one places in the joined bytes, the bytes, and for each
+    text the index of its first word (one more at the end)."""
     buf = np.frombuffer(b" ".join(t or b"" for t in texts), dtype=np.uint8)
     lengths = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
     text_starts = np.concatenate(([0], np.cumsum(lengths)))
     if not buf.size:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, buf, np.zeros(len(texts) + 1, np.int64)
     edge = np.diff(np.concatenate(([0], word_bytes[buf].view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power_tables(buf.size)
     total = np.zeros(buf.size + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * up[: buf.size], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, text_starts)
+    return hashes, starts, ends, buf, np.searchsorted(starts, text_starts)
+
+
+def word_hashes(texts: list[bytes | None], word_bytes: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and for each text the index of its first word (one more at the end)."""
+    hashes, _, _, _, first = word_spans(texts, word_bytes)
+    return hashes, first
 
 
 def shingle_sets(texts: list[bytes | None], width: int, word_bytes: np.ndarray = BY_SPACE) -> list[np.ndarray]:
