@@ -13,7 +13,10 @@ ACCENTED = "άέήίόύώϊϋΐΰàáâãäåçèéêëìíîïñòóôõöùú
 PLAIN = "αεηιουωιυιυaaaaaaceeeeiiiinooooouuuuyy"
 # Two-letter combinations first, then single letters.
 SEARCH_DIGRAPHS = {"th": "θ", "ch": "χ", "ps": "ψ", "ou": "ου", "mp": "μπ"}
-SEARCH_LETTERS = dict(zip("abgdezhiklmnxoprstuyfvwq", "αβγδεζηικλμνξοπρστυυφβωκ", strict=True))
+SEARCH_LETTERS = {
+    "a": "α", "b": "β", "g": "γ", "d": "δ", "e": "ε", "z": "ζ", "h": "η", "i": "ι", "k": "κ", "l": "λ", "m": "μ", "n": "ν",
+    "x": "ξ", "o": "ο", "p": "π", "r": "ρ", "s": "σ", "t": "τ", "u": "υ", "y": "υ", "f": "φ", "v": "β", "w": "ω", "q": "κ",
+}
 NAME_DIGRAPHS = SEARCH_DIGRAPHS | {"nt": "ντ", "gk": "γκ"}
 NAME_LETTERS = SEARCH_LETTERS | {"c": "κ", "j": "τζ"}
 
@@ -25,6 +28,11 @@ def fold(s: Column, final_sigma: bool = False) -> Column:
     return F.translate(out, "ς", "σ") if final_sigma else out
 
 
+def fold_term(s: str) -> str:
+    """The same folding of a literal."""
+    return re.sub("[̀-ͯ]", "", s.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+
+
 def to_greek(s: Column, digraphs: dict[str, str] = NAME_DIGRAPHS, letters: dict[str, str] = NAME_LETTERS) -> Column:
     """Latin letters to Greek; a two-letter combination goes before its letters, scanning from the left."""
     # one pass over the characters: the state holds the text so far and a letter that may open a combination
@@ -59,16 +67,6 @@ def brand_token(s: Column) -> Column:
     return F.when(F.length(t) >= 3, t)
 
 
-def overlap_count(a: Column, b: Column) -> Column:
-    """How many tokens of a are in b; repeated tokens of a count each time."""
-    return F.size(F.filter(a, lambda t: F.array_contains(b, t)))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def contains_any(s: Column, terms: Iterable[str]) -> Column:
     """One alternation, so that the text is made and scanned once."""
     quoted = [re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t) for t in terms]

@@ -34,10 +34,13 @@ def comparable_pairs(names: DataFrame, group: str, name: str) -> DataFrame:
 
 
 def waterfall(rows: DataFrame, steps: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Look rows up in several tables (name, table of key and product_id, key); the first that has the key wins."""
+    """Look rows up in several tables (name, table of key and product_id, key); the first that has the key wins.
+
+    A key that a table repeats stands for its least product_id, so no row is multiplied.
+    """
     out, found, via = rows, [], F.lit(None).cast("string")
     for i, (name, known, key) in enumerate(steps):
-        side = known.select(F.col(key).alias(f"_k{i}"), F.col("product_id").alias(f"_p{i}"))
+        side = known.groupBy(F.col(key).alias(f"_k{i}")).agg(F.min("product_id").alias(f"_p{i}"))
         out = out.join(side, F.col(key) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         found.append(f"_p{i}")
     for i, (name, _, _) in reversed(list(enumerate(steps))):

@@ -17,21 +17,26 @@ from basketlens.functions.dates import micros
 
 
 def _walked(rows: DataFrame, keys: Sequence[str], decide, name: str) -> DataFrame:
-    """Adds a boolean column: decide(state, microseconds) -> (state, value) over each key's rows in order of ts, event_id."""
-    ready = rows.withColumn("_key", F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))).withColumn("_at", micros(F.col("ts")))
-    ready = ready.repartition("_key").sortWithinPartitions("_key", "_at", "event_id")
+    """Adds a boolean column: decide(state, microseconds) -> (state, value) over each key's rows in order of ts, event_id.
+
+    A row without a time gets false and changes no state; null is a key of its own.
+    """
+    k_, at_ = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(rows.columns) + 1)) if n not in rows.columns) for x in ("key", "at"))
+    ready = rows.withColumn(k_, F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))).withColumn(at_, micros(F.col("ts")))
+    ready = ready.repartition(k_).sortWithinPartitions(k_, at_, "event_id")
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (k, at) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist(), strict=True)):
+            for i, (k, at) in enumerate(zip(batch.column(k_).to_pylist(), batch.column(at_).to_pylist(), strict=True)):
                 if k != key:
                     key, state = k, None
-                state, keep[i] = decide(state, at)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_key", "_at")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(keep)], [*(n for n in batch.schema.names if n not in ("_key", "_at")), name])
+                if at is not None:
+                    state, keep[i] = decide(state, at)
+            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (k_, at_)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keep)], [*(n for n in batch.schema.names if n not in (k_, at_)), name])
 
     return ready.mapInArrow(walk, schema)
 

@@ -13,6 +13,22 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFra
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def places(df: DataFrame, keys: Sequence[str], level: str, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Number the rows of each key from 1, by descending `level`, then in an order.
+
+    Rows are numbered within a key's levels, and the counts of the levels above are added, so a key of any size is
+    spread over as many tasks as it has levels. Nulls of the level come last.
+    """
+    above = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(level)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, level).agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, level).orderBy(*order))
+    rows, match = df.withColumn("_in", within).alias("r"), None
+    for k in (*keys, level):
+        same = F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+        match = same if match is None else match & same
+    return rows.join(counts.alias("c"), match).select(*(F.col(f"r.{c}") for c in df.columns), (F.col("_in") + F.col("_above")).cast("long").alias(name))
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key (a top-1 window, which Spark limits before it shuffles)."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -59,9 +59,9 @@ def scored_by(rows: DataFrame, scorer: Callable[[pd.Series], pd.Series], column:
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-@register("externally_scored", sql("SELECT product_id, CAST(length(product_name) AS DOUBLE) AS score FROM products WHERE category = 'PROMO'"))
+@register("externally_scored", sql("SELECT product_id, CAST(length(product_name) AS DOUBLE) AS score FROM products"))
 def externally_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = products(spark, sf_dir).where("category = 'PROMO'").select("product_id", "product_name")
+    rows = products(spark, sf_dir).select("product_id", "product_name")
     return scored_by(rows, lambda s: s.str.len(), "product_name").select("product_id", "score")
 
 

@@ -33,14 +33,8 @@ def url_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", category_path(F.col("url")).alias("slug"))
 
 
-@register("json_paths", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE event_id < 2000")
+@register("json_paths", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(table(spark, sf_dir, "events").where("event_id < 2000"))
-
-
-@register("json_paths_all", "SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events")
-def json_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """json_paths of every event."""
     return _paths(table(spark, sf_dir, "events"))
 
 
@@ -48,14 +42,8 @@ def _paths(events: DataFrame) -> DataFrame:
     return events.select("event_id", "props").lateralJoin(FindKeys(F.col("props").outer(), F.lit("^k$"))).select("event_id", "path", "value")
 
 
-@register("json_items", "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS name, event_type = 'click' AS on_offer FROM events WHERE event_id < 500")
+@register("json_items", "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS name, event_type = 'click' AS on_offer FROM events")
 def json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(table(spark, sf_dir, "events").where("event_id < 500"))
-
-
-@register("json_items_all", "SELECT event_id, CAST(event_id AS VARCHAR) AS id, event_type AS name, event_type = 'click' AS on_offer FROM events")
-def json_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """json_items of every event."""
     return _items(table(spark, sf_dir, "events"))
 
 
@@ -66,14 +54,8 @@ def _items(events: DataFrame) -> DataFrame:
     return rows.lateralJoin(FindItems(F.col("doc").outer())).select("event_id", "id", "name", "on_offer")
 
 
-@register("object_of_arrays", "SELECT event_id, unnest([CAST(json_extract_string(props, '$.k') AS BIGINT), event_id]) AS value FROM events WHERE event_id < 1000")
+@register("object_of_arrays", "SELECT event_id, unnest([CAST(json_extract_string(props, '$.k') AS BIGINT), event_id]) AS value FROM events")
 def object_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _array_values(table(spark, sf_dir, "events").where("event_id < 1000"))
-
-
-@register("object_of_arrays_all", "SELECT event_id, unnest([CAST(json_extract_string(props, '$.k') AS BIGINT), event_id]) AS value FROM events")
-def object_of_arrays_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """object_of_arrays of every event."""
     return _array_values(table(spark, sf_dir, "events"))
 
 

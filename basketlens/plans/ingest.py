@@ -77,15 +77,9 @@ def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_keys(products(spark, sf_dir), offers(spark, sf_dir).where("source = 'N' AND pct = 10"), ["product_id"]).select("product_id")
 
 
-@register("guarded_delete_counts", sql("SELECT p.product_id, count(o.offer_id) AS dependents FROM products p LEFT JOIN offers o USING (product_id) WHERE p.product_id < 50 GROUP BY p.product_id"))
+@register("guarded_delete_counts", sql("SELECT p.product_id, count(o.offer_id) AS dependents FROM products p LEFT JOIN offers o USING (product_id) GROUP BY p.product_id"))
 def guarded_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows depend on each product; a delete goes ahead only where there are none."""
-    return _dependents(products(spark, sf_dir).where("product_id < 50"), offers(spark, sf_dir))
-
-
-@register("guarded_delete_counts_all", sql("SELECT p.product_id, count(o.offer_id) AS dependents FROM products p LEFT JOIN offers o USING (product_id) GROUP BY p.product_id"))
-def guarded_delete_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """guarded_delete_counts of every product."""
     return _dependents(products(spark, sf_dir), offers(spark, sf_dir))
 
 

@@ -79,15 +79,9 @@ def parameterised_scan(spark: SparkSession, sf_dir: str, top: float = 20000.0) -
     return spark.sql("SELECT chain, count(*) AS n FROM {live} WHERE price <= :top GROUP BY chain", args={"top": top}, live=live_offers(spark, sf_dir))
 
 
-@register("expanded_offers", sql("SELECT offer_id, product_name, brand, branch, chain FROM named_offers WHERE pct = 10 AND product_id < 200"))
+@register("expanded_offers", sql("SELECT offer_id, product_name, brand, branch, chain FROM named_offers"))
 def expanded_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers with their relations as nested structs, as a reader would get them, flattened for output."""
-    return _expanded(named_offers(spark, sf_dir).where((F.col("pct") == 10) & (F.col("product_id") < 200)))
-
-
-@register("expanded_offers_all", sql("SELECT offer_id, product_name, brand, branch, chain FROM named_offers"))
-def expanded_offers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """expanded_offers of every product and discount."""
     return _expanded(named_offers(spark, sf_dir))
 
 

@@ -97,15 +97,9 @@ def rank_and_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_offers(spark, sf_dir).select("offer_id", "product_id", "price", (F.col("price") == low).alias("best"), half_up(F.col("price") - low, 2).alias("more"), place.alias("place"))
 
 
-@register("price_steps", sql("SELECT product_id, recorded_at, price, lead(recorded_at) OVER (PARTITION BY product_id ORDER BY recorded_at, run_id, line, price) AS until FROM observations WHERE product_id < 300"))
+@register("price_steps", sql("SELECT product_id, recorded_at, price, lead(recorded_at) OVER (PARTITION BY product_id ORDER BY recorded_at, run_id, line, price) AS until FROM observations"))
 def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price holds until the next observation."""
-    return _steps(observations(spark, sf_dir).where("product_id < 300"))
-
-
-@register("price_steps_all", sql("SELECT product_id, recorded_at, price, lead(recorded_at) OVER (PARTITION BY product_id ORDER BY recorded_at, run_id, line, price) AS until FROM observations"))
-def price_steps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """price_steps of every product."""
     return _steps(observations(spark, sf_dir))
 
 

@@ -79,19 +79,10 @@ def hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("offer_id", score.alias("hot"))
 
 
-@register("cheaper_alternatives", sql("""WITH s AS (SELECT * FROM live_offers WHERE product_id < 500), c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving,
-    row_number() OVER (PARTITION BY s.offer_id ORDER BY a.price, a.offer_id) AS rn FROM s JOIN live_offers a ON a.product_id = s.product_id AND a.chain <> s.chain AND s.price - a.price >= 0.1)
-    SELECT offer_id, other, chain, saving FROM c WHERE rn = 1"""))
-def cheaper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live_offers(spark, sf_dir)
-    return cheaper_alternatives(rows.where("product_id < 500"), rows)
-
-
-@register("cheaper_alternatives_all", sql("""WITH c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving,
+@register("cheaper_alternatives", sql("""WITH c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving,
     row_number() OVER (PARTITION BY s.offer_id ORDER BY a.price, a.offer_id) AS rn FROM live_offers s JOIN live_offers a ON a.product_id = s.product_id AND a.chain <> s.chain AND s.price - a.price >= 0.1)
     SELECT offer_id, other, chain, saving FROM c WHERE rn = 1"""))
-def cheaper_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cheaper_alternatives for every live offer."""
+def cheaper(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = live_offers(spark, sf_dir)
     return cheaper_alternatives(rows, rows)
 

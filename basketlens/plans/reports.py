@@ -205,15 +205,9 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("g = 0").select(F.col("chain").alias("top"), F.col("category").alias("grp"), F.col("product_name").alias("leaf"), "n", "level", "sample")
 
 
-@register("basket_totals", sql("SELECT chain, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS subtotal_cents, CAST(sum(CAST(floor((coalesce(original_price, price) - price) * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS saved_cents, max(pct) AS biggest FROM live_offers WHERE product_id % 50 = 3 GROUP BY chain"))
+@register("basket_totals", sql("SELECT session_id, chain, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS subtotal_cents, CAST(sum(CAST(floor((coalesce(original_price, price) - price) * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS saved_cents, max(pct) AS biggest FROM live_offers JOIN (SELECT DISTINCT session_id, product_id FROM clicks WHERE event_type = 'purchase') USING (product_id) GROUP BY session_id, chain"))
 def basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A basket's subtotal and savings by chain, in whole cents."""
-    return _basket(live_offers(spark, sf_dir).where("product_id % 50 = 3"), "chain")
-
-
-@register("basket_totals_all", sql("SELECT session_id, chain, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS subtotal_cents, CAST(sum(CAST(floor((coalesce(original_price, price) - price) * 100 + 0.5) AS BIGINT) * qty) AS BIGINT) AS saved_cents, max(pct) AS biggest FROM live_offers JOIN (SELECT DISTINCT session_id, product_id FROM clicks WHERE event_type = 'purchase') USING (product_id) GROUP BY session_id, chain"))
-def basket_totals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """basket_totals of every basket: the products that a session has added."""
+    """Subtotal and savings of every basket by chain, in whole cents; a session's basket is what it has bought."""
     baskets = clicks(spark, sf_dir).where("event_type = 'purchase'").select("session_id", "product_id").distinct()
     return _basket(live_offers(spark, sf_dir).join(baskets, "product_id"), "session_id", "chain")
 

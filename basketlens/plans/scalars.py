@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.bindings import live_offers, offers, products, runs, sql, table
 from basketlens.functions.num import half_up
 from basketlens.functions.validate import or_null
+from basketlens.operators.ranking import places
 from basketlens.registry import register
 
 
@@ -77,12 +78,10 @@ def on_offer_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("product_id", (F.coalesce("hit", F.lit(False)) | (F.col("size") > 45) | (F.col("brand") == "Brand#3")).alias("on_offer"))
 
 
-@register("grouped_aisles", sql("SELECT chain, category, string_agg(offer_id, ' ' ORDER BY pct DESC, price, offer_id) AS ids FROM live_offers WHERE pct = 10 GROUP BY chain, category"))
+@register("grouped_aisles", sql("SELECT chain, category, offer_id, CAST(row_number() OVER (PARTITION BY chain, category ORDER BY pct DESC, price, offer_id) AS BIGINT) AS place FROM live_offers"))
 def grouped_aisles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of an aisle as one sorted array, best discount first."""
-    item = F.struct((-F.col("pct")).alias("p"), "price", "offer_id")
-    by = live_offers(spark, sf_dir).where("pct = 10").groupBy("chain", "category").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return by.select("chain", "category", F.array_join(F.transform("items", lambda x: x["offer_id"]), " ").alias("ids"))
+    """Offers by aisle with their places in it, best discount first: rows, not arrays, so that an aisle may be of any size."""
+    return places(live_offers(spark, sf_dir), ["chain", "category"], "pct", [F.asc("price"), F.asc("offer_id")]).select("chain", "category", "offer_id", "place")
 
 
 @register("category_discovery", sql("SELECT category, min(product_id) AS first_id FROM products WHERE category <> 'STANDARD' GROUP BY category"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from basketlens.bindings import live_offers, products, sql, table
 from basketlens.functions.scores import alert_matches, relevance, search_terms
-from basketlens.functions.text import ACCENTED, PLAIN, contains_any, escape_html, fold, mirror_path, overlap_count, tokens, word_tokens
+from basketlens.functions.text import ACCENTED, PLAIN, contains_any, escape_html, fold, fold_term, mirror_path, tokens, word_tokens
+from basketlens.operators.compare import top_overlaps
 from basketlens.registry import register
 
 _FOLD = f"translate(lower(%s), '{ACCENTED}', '{PLAIN}')"
+_TOKENS_SQL = f"list_filter(regexp_split_to_array(regexp_replace({_FOLD % 'text'}, '[\u0300-\u036f]', '', 'g'), '\\s+'), lambda t: length(t) >= 3)"
 
 
 @register("folded_words", f"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace({_FOLD % 'text'}, 'ς', 'σ', 'g'), '[^a-z0-9α-ω]+'), lambda t: t <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS n, w[1] AS first_word, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct FROM w")
@@ -21,8 +23,7 @@ def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("accent_insensitive_search", f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD % 'text'}, 'reaux') OR contains({_FOLD % 'text'}, 'cion que')")
 def accent_insensitive_search(spark: SparkSession, sf_dir: str, terms: tuple[str, ...] = ("réaux", "ción que")) -> DataFrame:
-    folded = [r["t"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(fold(F.col("t")).alias("t")).collect()]
-    return table(spark, sf_dir, "documents").where(contains_any(fold(F.col("text")), folded)).select("doc_id", "lang")
+    return table(spark, sf_dir, "documents").where(contains_any(fold(F.col("text")), [fold_term(t) for t in terms])).select("doc_id", "lang")
 
 
 @register("search_offers", sql("""WITH r AS (SELECT offer_id, CASE WHEN regexp_matches(product_name, '(^|[^a-z0-9])bolt([^a-z0-9]|$)') THEN 100 WHEN regexp_matches(product_name, '(^|[^a-z0-9])bolt') THEN 70 WHEN contains(lower(category), 'bolt') THEN 10 ELSE 0 END AS best, category, pct FROM live_offers)
@@ -69,11 +70,14 @@ def first_alert_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("alert", "x.offer_id")
 
 
-@register("token_overlap", "SELECT b.item_id, d.doc_id, CAST(len(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda t: length(t) >= 3 AND list_contains(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda u: length(u) >= 3), t))) AS INTEGER) AS score FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE d.lang = 'en' AND regexp_matches(b.text, '^[\\x00-\\x7F]*$')")
+@register("token_overlap", f"""WITH b AS (SELECT item_id, unnest({_TOKENS_SQL}) AS t FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({_TOKENS_SQL})) AS t FROM documents),
+    s AS (SELECT item_id, doc_id, count(*) AS score, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rn FROM b JOIN d USING (t) GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, score FROM s WHERE rn <= 3""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("item_id", F.col("text").alias("a"))
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    return b.join(d, F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", overlap_count(tokens(F.col("a")), tokens(F.col("text"))).alias("score"))
+    """The three documents that share most tokens with each benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    return top_overlaps(items, docs, "item_id", "doc_id", 3)
 
 
 @register("escaped_names", sql("SELECT DISTINCT brand, replace(replace(brand || '<&>', '&', '&amp;'), '<', '&lt;') AS half, 'x' || substr(sha1(brand), 1, 8) AS path FROM products"))
@@ -101,6 +105,6 @@ def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("chain").agg(F.array_join(lines, " / ").alias("text"))
 
 
-@register("truncated_text", "SELECT doc_id, substr(text, 1, 256) AS head, CAST(length(text) AS INTEGER) AS n FROM documents WHERE lang = 'es'")
+@register("truncated_text", "SELECT doc_id, substr(text, 1, 256) AS head, CAST(length(text) AS INTEGER) AS n FROM documents")
 def truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.substring("text", 1, 256).alias("head"), F.length("text").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 256).alias("head"), F.length("text").alias("n"))
