@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,13 +59,12 @@ def _by_role(role: Column, of, other: Column) -> Column:
     return out
 
 
-def _segments(turn: Column) -> Column:
-    role, text = F.coalesce(turn["role"], F.lit("")), F.coalesce(turn["text"], F.lit(""))
+def _pieces(role: Column, text: Column) -> Column:
+    """struct of a turn's three texts and whether the middle one is under the mask."""
+    role, text = F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))
     opened = _by_role(role, lambda m: F.lit(m.open), F.concat(F.lit(OTHER.open), escaped(role), F.lit(NAME_END)))
     closed = _by_role(role, lambda m: F.lit(m.close), F.lit(OTHER.close))
-    loss = _by_role(role, lambda m: F.lit(m.loss), F.lit(OTHER.loss))
-    piece = lambda t, on: F.struct(t.alias("text"), on.alias("loss"))
-    return F.array(piece(opened, F.lit(False)), piece(escaped(text), loss), piece(closed, F.lit(False)))
+    return F.struct(opened.alias("opened"), escaped(text).alias("text"), closed.alias("closed"), _by_role(role, lambda m: F.lit(m.loss), F.lit(OTHER.loss)).alias("loss"))
 
 
 def _final_state(turns: Column) -> Column:
@@ -81,54 +80,56 @@ def _final_state(turns: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, valid, segments (text, loss), formatted, loss_spans (start, length: code points of formatted)."""
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    out = turns.select("conv_id", F.coalesce(_final_state(F.col("turns")).isin(*FINAL), F.lit(False)).alias("valid"), F.flatten(F.transform("turns", _segments)).alias("segments"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def add(acc: Column, s: Column) -> Column:
-        n = F.length(s["text"])
-        here = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(s["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
-
-    formatted = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    return out.select("conv_id", "valid", "segments", formatted.alias("formatted"), F.aggregate("segments", begin, add, lambda a: a["spans"]).alias("loss_spans"))
-
+    """conv_id, valid, segments (text, loss), formatted, loss_spans (start, length: code points of formatted).
+
+    Where a turn begins is a running sum over its conversation's rows, so the work grows with the turns, not with their square.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text", _pieces(F.col("role"), F.col("text")).alias("p"))
+    size = F.length("p.opened") + F.length("p.text") + F.length("p.closed")
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int"))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "turn", "role", "p"))).alias("turns"))
+    piece = lambda t, on: F.struct(t.alias("text"), on.alias("loss"))
+    segments = F.flatten(F.transform("turns", lambda t: F.array(piece(t["p"]["opened"], F.lit(False)), piece(t["p"]["text"], t["p"]["loss"]), piece(t["p"]["closed"], F.lit(False)))))
+    spans = F.transform(F.filter("turns", lambda t: t["p"]["loss"]), lambda t: F.struct((t["at"] + F.length(t["p"]["opened"])).alias("start"), F.length(t["p"]["text"]).alias("length")))
+    out = turns.select("conv_id", F.coalesce(_final_state(F.col("turns")).isin(*FINAL), F.lit(False)).alias("valid"), segments.alias("segments"), spans.alias("loss_spans"))
+    return out.select("conv_id", "valid", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "loss_spans")
 
-def read_turns(formatted: Column) -> Column:
-    """Back from a formatted text: array of (role, text)."""
 
-    def back(turn: Column) -> Column:
-        def inner(m: Marks) -> Column:
-            return F.substring(turn, len(m.open) + 1, F.length(turn) - len(m.open) - len(m.close))
+def _read(turn: Column) -> Column:
+    """Back from a formatted turn: struct(role, text, begin), begin being where its text begins in it."""
 
-        end = F.locate(NAME_END, turn)
-        role, text = F.substring(turn, F.lit(len(OTHER.open) + 1), end - len(OTHER.open) - 1), F.substring(turn, end + len(NAME_END), F.length(turn) - end + 1 - len(NAME_END) - len(OTHER.close))
-        for name, m in TEMPLATE.items():
-            mine = turn.startswith(m.open)
-            role, text = F.when(mine, F.lit(name)).otherwise(role), F.when(mine, inner(m)).otherwise(text)
-        return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
+    def inner(m: Marks) -> Column:
+        return F.substring(turn, len(m.open) + 1, F.length(turn) - len(m.open) - len(m.close))
 
-    return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), back)
+    end = F.locate(NAME_END, turn)
+    role, text = F.substring(turn, F.lit(len(OTHER.open) + 1), end - len(OTHER.open) - 1), F.substring(turn, end + len(NAME_END), F.length(turn) - end + 1 - len(NAME_END) - len(OTHER.close))
+    begin = end - 1 + len(NAME_END)
+    for name, m in TEMPLATE.items():
+        mine = turn.startswith(m.open)
+        role, text, begin = F.when(mine, F.lit(name)).otherwise(role), F.when(mine, inner(m)).otherwise(text), F.when(mine, F.lit(len(m.open))).otherwise(begin)
+    return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"), begin.alias("begin"))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """Back from a formatted text and its mask: all text under the mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+def read_turns(chats: DataFrame) -> DataFrame:
+    """Back from formatted texts and their masks: conv_id, pos, role, text, loss (the text under the mask in this turn, unescaped, or null)."""
+    turns = chats.select("conv_id", F.posexplode(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(0))).alias("pos", "turn"))
+    earlier = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.length("turn")).over(earlier), F.lit(0))).withColumn("r", _read(F.col("turn")))
+    spans = chats.select(F.col("conv_id").alias("of"), F.inline("loss_spans"))
+    under = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("at") + F.col("r.begin") == F.col("start"))
+    loss = unescaped(F.substring("turn", F.col("r.begin") + 1, F.col("length")))
+    return turns.join(spans, under, "left").select("conv_id", "pos", "r.role", "r.text", loss.alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
     """Digests of each conversation, taken from its formatted text and mask alone."""
-    out = chats.select("conv_id", "valid", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    turns = read_turns(chats).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "loss"))).alias("turns"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(joined, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    loss = F.array_join(F.filter(F.transform("turns", lambda t: t["loss"]), lambda x: x.isNotNull()), "")
+    sizes = chats.select(F.col("conv_id").alias("of"), F.length("formatted").cast("long").alias("formatted_chars"))
+    out = turns.join(sizes, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), loss.alias("loss"), "formatted_chars")
+    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 def probe(conversations: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Semantics (`secret_spans`)
     Base spans, leftmost and non-overlapping within each kind: `assign` is a keyword, a separator and a value of 8 or more
     characters; `access` is AKIA and capitals or digits, 16 or more in all; `hex` is 32 or more of 0-9a-f. A match that is
-    too short is consumed and dropped. The Markov span kind, `markov`, covers a run of CANDIDATE characters that no base
-    span touches and whose mean log-likelihood ratio a transition, random against ordinary, is at least MARGIN.
+    too short is consumed and dropped. The Markov span kind, `markov`, covers what base spans leave of a run of CANDIDATE
+    characters if it is long enough and its mean log-likelihood ratio a transition, random against ordinary, is at least MARGIN.
     Positions are code points, end exclusive. A null text is empty and has no span. Every row is judged on its own:
     repeated rows agree, other columns pass through, an empty table gives an empty result.
 
@@ -74,32 +74,78 @@ def train(samples: DataFrame) -> list[float]:
     return [log(1, a, b) - log(0, a, b) for a in range(k) for b in range(k)]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(sizes: Column) -> Column:
+    """For each number the sum of those before it.
+
+    A fold that appends copies what it has, so it runs over blocks of about the root of the length, and the blocks'
+    sums are added.
+    """
+
+    def blocks(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, width))
+
+    def walk(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, n: x + n)
+    before = lambda sums: F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda i: total(F.slice(sums, 1, i)))
+    walked = lambda bs: F.flatten(F.zip_with(bs, _let(F.transform(bs, total), before), walk))
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(_let(blocks(sizes), walked))
+
+
+def _matched(text: Column, pattern: str, group: int) -> Column:
+    """array of (gap, match, own): each match with the text before it and the length of its group."""
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    rows = F.zip_with(matches, sized, lambda m, g: F.struct(m.alias("match"), F.length(g).alias("own")))
+    each = F.zip_with(rows, between, lambda r, gap: F.struct(gap.alias("gap"), r["match"].alias("match"), r["own"].alias("own")))
+    return F.filter(each, lambda r: r["match"].isNotNull())  # without the text after the last match
+
+
 def located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """array of (start, kind, end, token) of the matches of pattern whose group has `least` characters or more.
 
-    The texts between the matches come from a split by the same pattern; their lengths give the positions.
+    The texts between the matches come from a split by the same pattern; running sums of the lengths give the positions.
     """
-    kept = F.struct(F.lit(0).alias("start"), F.lit(0).alias("kind"), F.lit(0).alias("end"), F.lit("").alias("token"))
+    kept = F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"), F.lit("").alias("token"), F.lit(0).alias("own"))
     none = F.filter(F.array(kept), lambda x: F.lit(False))
-    matches, sized, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["match"])
-        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["match"].alias("token"))
-        return F.struct(end.alias("at"), F.when(F.length(m["own"]) >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def placed(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda r: F.length(r["gap"]) + F.length(r["match"])))
+
+        def one(r: Column, at: Column) -> Column:
+            start = at + F.length(r["gap"])
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(r["match"])).alias("end"), r["match"].alias("token"), r["own"].alias("own"))
+
+        return F.filter(F.zip_with(rows, before, one), lambda x: x["own"] >= least)
+
+    return F.when(text.rlike(pattern), _let(_matched(text, pattern, group), placed)).otherwise(none)
+
+
+def blanked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The text with blanks for the matches that `located` keeps, as long as it was."""
+
+    def filled(x: Column) -> Column:
+        pieces = F.transform(x["rows"], lambda r: F.concat(r["gap"], F.when(r["own"] >= least, F.repeat(F.lit(" "), F.length(r["match"]))).otherwise(r["match"])))
+        return F.concat(F.array_join(pieces, ""), x["rest"])
 
-    rows = F.zip_with(F.zip_with(matches, sized, lambda m, g: F.struct(m.alias("match"), g.alias("own"))), between, lambda m, b: F.struct(m["match"].alias("match"), m["own"].alias("own"), b.alias("gap")))
-    rows = F.filter(rows, lambda r: r["match"].isNotNull())  # the text after the last match
-    walk = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+    rest = F.element_at(F.split(text, pattern, -1), -1)
+    return F.when(text.rlike(pattern), _let(F.struct(_matched(text, pattern, group).alias("rows"), rest.alias("rest")), filled)).otherwise(text)
 
 
 def mean_ratio(token: Column, table: list[float]) -> Column:
     cells, k = F.lit(table), len(ALPHABET) + 1
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: _code(F.substring(token, i, 1)))
-    pairs = F.zip_with(codes, F.slice(codes, 2, F.length(token)), lambda a, b: F.get(cells, F.coalesce(a * k + b, F.lit(-1))))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / (F.length(token) - 1)
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), _code)
+    pairs = lambda codes: F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(cells, F.coalesce(a * k + b, F.lit(-1))))
+    return F.aggregate(_let(codes, pairs), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / (F.length(token) - 1)
 
 
 def written(spans: Column) -> Column:
@@ -115,10 +161,12 @@ def secret_spans(documents: DataFrame, table: list[float], text_col: str = "text
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     found = [located(text, p, g, n, k) for k, (p, g, n) in enumerate(BASE.values())]
     out = documents.withColumn(base, F.sort_array(bare(F.concat(*found))))
-    tokens = located(text, CANDIDATE, 0, LEAST, len(BASE))
-    apart = lambda t: ~F.exists(F.col(base), lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
-    likely = F.filter(F.filter(tokens, apart), lambda t: mean_ratio(t["token"], table) >= MARGIN)
-    return out.withColumn(every, F.sort_array(F.concat(F.col(base), bare(likely)))), base, every
+    rest, masked = free_name(out, "_rest"), text
+    for pattern, group, least in BASE.values():
+        masked = blanked(masked, pattern, group, least)
+    out = out.withColumn(rest, masked)
+    likely = F.filter(located(F.col(rest), CANDIDATE, 0, LEAST, len(BASE)), lambda t: mean_ratio(t["token"], table) >= MARGIN)
+    return out.withColumn(every, F.sort_array(F.concat(F.col(base), bare(likely)))).drop(rest), base, every
 
 
 def scan(documents: DataFrame, prose: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,14 @@ def test_query(spark, tiny):
     rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 0, "user", ODD[0]), (-1, 1, "assistant", ODD[0])]
     assert {r.conv_id: tuple(r)[1:5] for r in op6_chat_format(spark, tiny).collect()} == expected(rows)
+
+
+def test_thirty_two_thousand_turns(spark):
+    """Time grows with the turns: a long conversation takes seconds (by the square it took a minute)."""
+    n = 32_000
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("text </s> "), F.col("id").cast("string")).alias("text"), F.lit(7).alias("formatted"))
+    begin = time.perf_counter()
+    (got,) = read_back(format_chats(rows)).collect()
+    assert time.perf_counter() - begin < 30
+    assert tuple(got)[1:5] == expected([(5, i, "assistant" if i % 2 else "user", f"text </s> {i}") for i in range(n)])[5]

@@ -1,8 +1,12 @@
 import hashlib
 import re
+import time
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from basketlens.llm.queries import op9_secrets
-from basketlens.llm.secrets import scan
+from basketlens.llm.secrets import labelled_samples, running, scan, secret_spans, train
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KINDS = [("assign", ASSIGN, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
@@ -56,3 +60,35 @@ def test_query(spark):
     rows = op9_secrets(spark, sf).collect()
     verify(rows, docs)
     assert sum(r.n_assign for r in rows) > 0
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 7, 100, 1000):
+        a = rng.integers(0, 50, n).tolist()
+        df = spark.createDataFrame([(a,)], "a array<int>")
+        assert df.select(running(F.col("a"))).first()[0] == [sum(a[:i]) for i in range(n)]
+
+
+def test_thirty_two_thousand_matches_and_a_long_run(spark):
+    """Time grows with the matches and the run's length: seconds (by the square it took most of a minute)."""
+    n = 32_000
+    one = "token = abcdefgh1 x"
+    texts = [one * n, "k9XvQ2mZr7TbW4yLp0Jd" * 45_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = train(labelled_samples(spark.createDataFrame([("some ordinary words of prose " * 40,)], "text string"), 500))
+    begin = time.perf_counter()
+    rows, base, every = secret_spans(docs, table)
+    got = {r.doc_id: (r[base], r[every]) for r in rows.collect()}
+    assert time.perf_counter() - begin < 40
+    assert [(x.start, x.end) for x in got[0][0]] == [(i * len(one), i * len(one) + len(one) - 2) for i in range(n)]
+    assert [(x.start, x.end) for x in got[1][1]] == [(0, 900_000)]
+
+
+def test_a_run_is_judged_by_what_base_spans_leave(spark):
+    run = "k9XvQ2mZr7TbW4yLp0Jd"
+    docs = spark.createDataFrame([(1, f"{'0a' * 20}-{run}{run}"), (2, f"api_key={run} {run}")], "doc_id long, text string")
+    table = train(labelled_samples(spark.createDataFrame([("some ordinary words of prose " * 40,)], "text string"), 500))
+    rows, base, every = secret_spans(docs, table)
+    got = {r.doc_id: [(x.start, x.kind, x.end) for x in r[every]] for r in rows.collect()}
+    assert got[1] == [(0, 2, 40), (40, 3, 81)] and got[2] == [(0, 0, 28), (29, 3, 49)]
