@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 import time
@@ -44,8 +45,6 @@ def test_against_python(spark, tiny):
 
 
 def test_markov_spans(spark, tiny):
-    import base64
-
     random = [base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:40] for i in range(200, 260)]
     plain = ["ordinary_identifier_of_some_words", "anotherLongIdentifierInCamelCase", "verylongordinarywordwithoutanybreaks", "the-quick-brown-fox-jumps-over"]
     rows = {r.doc_id: r.spans for r in run(spark, [(i, f"key {t} end") for i, t in enumerate(random + plain)], tiny)}
@@ -62,6 +61,10 @@ def test_query(spark):
     assert sum(r.n_assign for r in rows) > 0
 
 
+def random_string(n):
+    return "".join(base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()[:40] for i in range(n))
+
+
 def test_running_sums(spark):
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 7, 100, 1000):
@@ -70,25 +73,25 @@ def test_running_sums(spark):
         assert df.select(running(F.col("a"))).first()[0] == [sum(a[:i]) for i in range(n)]
 
 
-def test_thirty_two_thousand_matches_and_a_long_run(spark):
+def test_thirty_two_thousand_matches_and_a_long_run(spark, tiny):
     """Time grows with the matches and the run's length: seconds (by the square it took most of a minute)."""
     n = 32_000
     one = "token = abcdefgh1 x"
-    texts = [one * n, "k9XvQ2mZr7TbW4yLp0Jd" * 45_000]
+    texts = [one * n, random_string(22_500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    table = train(labelled_samples(spark.createDataFrame([("some ordinary words of prose " * 40,)], "text string"), 500))
+    table = train(labelled_samples(spark.read.parquet(f"{tiny}/benchmark.parquet")))
     begin = time.perf_counter()
-    rows, base, every = secret_spans(docs, table)
-    got = {r.doc_id: (r[base], r[every]) for r in rows.collect()}
+    found, base_spans, every = secret_spans(docs, table)
+    got = {r.doc_id: (r[base_spans], r[every]) for r in found.collect()}
     assert time.perf_counter() - begin < 40
     assert [(x.start, x.end) for x in got[0][0]] == [(i * len(one), i * len(one) + len(one) - 2) for i in range(n)]
     assert [(x.start, x.end) for x in got[1][1]] == [(0, 900_000)]
 
 
-def test_a_run_is_judged_by_what_base_spans_leave(spark):
-    run = "k9XvQ2mZr7TbW4yLp0Jd"
+def test_a_run_is_judged_by_what_base_spans_leave(spark, tiny):
+    run = random_string(1)[:20]
     docs = spark.createDataFrame([(1, f"{'0a' * 20}-{run}{run}"), (2, f"api_key={run} {run}")], "doc_id long, text string")
-    table = train(labelled_samples(spark.createDataFrame([("some ordinary words of prose " * 40,)], "text string"), 500))
-    rows, base, every = secret_spans(docs, table)
-    got = {r.doc_id: [(x.start, x.kind, x.end) for x in r[every]] for r in rows.collect()}
+    table = train(labelled_samples(spark.read.parquet(f"{tiny}/benchmark.parquet")))
+    found, base_spans, every = secret_spans(docs, table)
+    got = {r.doc_id: [(x.start, x.kind, x.end) for x in r[every]] for r in found.collect()}
     assert got[1] == [(0, 2, 40), (40, 3, 81)] and got[2] == [(0, 0, 28), (29, 3, 49)]
