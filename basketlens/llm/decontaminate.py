@@ -3,8 +3,8 @@
 Semantics (`decontaminate`)
     Words are maximal runs of ASCII letters, ASCII digits and code points beyond ASCII, A-Z lower-cased. A window is
     `window` consecutive words of a benchmark item; an item with fewer words, but not none, is one window. Every
-    document word inside any occurrence of a window is hit. Null and empty texts have no words; a null item gives no
-    window; items with equal texts all count. An empty benchmark hits nothing; an empty table gives an empty result.
+    document word inside any occurrence of a window is hit. Null and empty texts have no words; the windows of an item
+    without an id hit words, but name no item; items with equal texts all count. An empty benchmark hits nothing; an empty table gives an empty result.
     Each row is judged on its own, so repeated rows get equal results; other columns pass through.
 
 Method
@@ -32,7 +32,7 @@ from basketlens.llm.shared import free_name
 from basketlens.llm.text_hash import released
 
 WINDOW = 10
-PATTERN_BLOCK = 1_000_000
+PATTERN_BLOCK = 200_000
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -42,13 +42,13 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_SPLIT).split() if text else []
 
 
-def windows(items: Iterable[tuple[str, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
+def windows(items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
     """The distinct windows of benchmark items and the ids of the items that hold each."""
     found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            found[tuple(w[i : i + window])].add(item)
+            found[tuple(w[i : i + window])] |= set() if item is None else {item}
     return {k: sorted(v) for k, v in found.items()}
 
 
@@ -139,7 +139,7 @@ def _hit_words(spans: Column) -> Column:
 def _pattern_blocks(benchmark: DataFrame, window: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
     """Windows in blocks of at most PATTERN_BLOCK; the items stream through the driver one partition at a time."""
     block: dict[tuple[bytes, ...], list[str]] = {}
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     for item, text in rows.toLocalIterator():
         own = windows([(item, bytes(text))], window)
         if block and len(block) + len(own) > PATTERN_BLOCK:

@@ -5,9 +5,9 @@ Semantics (`mix`)
     Sources are ordered by code point, null last, and weigh `weights`, repeating. Their targets share `share` times the
     sum of all sizes by weight; no target exceeds `cap` times its source's size, and the excess is shared anew by weight
     among the others until none is above. If every source is capped, all targets are at their caps.
-    Each document is taken whole, 0 to `cap` times (a whole number): every document of a source the same number of times,
-    and once more those whose words come first in a fixed pseudo-random order, as long as the target is not passed by more
-    than half of the document that crosses it. So a source's taken words differ from its target by at most half of one
+    Each document is taken whole, 0 to `cap` times (a whole number). A source's documents stand in a fixed pseudo-random
+    order, which is gone through `cap` times, and its demand is its target; a copy is taken if the schedule (below) reaches
+    its middle within training, that is if the words before its middle are within the demand. So a source's taken words differ from its target by at most half of one
     document. Documents without words are taken as often as their place in that order says. Null doc_ids, repeated rows
     and ties in the order are kept: rows that tie are ordered by size. An empty table gives an empty result.
 
@@ -15,7 +15,8 @@ Curriculum
     The weight of a source over training time t in [0, 1] is w * (start + (end - start) * t), where `ramp` gives (start,
     end) for its weight class. Its integral, scaled to 1 at t = 1, is the source's share of tokens consumed by time t;
     the inverse at a copy's cumulative share of its source's taken words is that copy's training position.
-    `training_order` repeats rows once for each copy and range-partitions and sorts them by position.
+    `mix` range-partitions and sorts documents by the position of their first copy (those not taken last); `training_order`
+    does so with a row for each copy.
 
 Plan: one pass over the texts makes (id, source, size). One total per source is aggregated before any shuffle. Running sums
 are made in slices (`prefix_sums`), so a source with a third of all rows is spread over thousands of groups.
@@ -77,18 +78,23 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     t = totals.select(F.col("source").alias("_source"), "source_size", "weight", "target")
     ordered = prefix_sums(sized, ["source"], ["doc_id", "size"], {"before": "size"}, seed)
     rows = ordered.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rows = rows.withColumn("whole", F.least(whole, F.lit(int(cap))))
-    extra = F.col("target") - F.col("whole") * F.col("source_size")
-    once_more = (F.col("before") + F.col("size") / 2 <= extra) & (F.col("whole") < int(cap)) & (extra > 0)
-    rows = rows.withColumn("copies", (F.col("whole") + once_more.cast("int")).cast("int"))
+    middle = lambda k: F.col("before") + k * F.col("source_size") + F.col("size") / 2
+    reached = lambda k: (F.col("target") > 0) & (reach(middle(k), F.col("target"), F.col("weight")) <= 1)
+    rows = rows.withColumn("copies", F.size(F.filter(F.sequence(F.lit(0), F.lit(int(cap) - 1)), reached)))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
     if keep_row:
         return rows.select(f"{name}.*", F.struct("size", "source_size", "target", "copies", "before", "weight").alias(free_name(documents, "_mix")))
     if plan:
         return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "before", "weight")
     p = F.when(F.col("copies") > 0, position(F.col("before"), F.col("target"), F.col("weight")))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", p.alias("position"))
+    placed = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", p.alias("position"))
+    keys = [F.col("position").asc_nulls_last(), F.xxhash64("doc_id"), F.col("size")]
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def reach(words_before: Column, target: Column, weight: Column, ramp: dict[float, tuple[float, float]] = RAMP) -> Column:
+    """`position`, but 2 for demand that training does not reach."""
+    return F.when(words_before <= target, position(words_before, target, weight, ramp)).otherwise(2.0)
 
 
 def position(words_before: Column, target: Column, weight: Column, ramp: dict[float, tuple[float, float]] = RAMP) -> Column:

@@ -8,11 +8,11 @@ Semantics (`shards`)
 
 Method
     Rows start on the shard of a hash of their id. In each round every link group votes (pre-aggregated counts of its rows
-    by shard), and its rows outside the leading shard ask to move there. A quota for each target is found so that no
-    shard passes its capacity, (1 + SLACK) times the mean, and whole groups are let through by a hash in that proportion,
-    so a group moves together. Rounds end when nothing moves. Then rows over an exact quota move to shards under it,
-    rows without links first. A group of more than a PART-th of a shard is split beforehand into parts that vote apart,
-    so that a group with a third of all rows neither meets in one task nor asks for more than a shard can hold.
+    by shard), and its rows outside the leading shard ask to move there. A quota for each target is found so that the linked
+    rows of no shard pass its capacity, a mean share of all rows (unlinked rows make room later), and whole groups are let
+    through by a hash in that proportion, so a group moves together. Rounds end when nothing asks to move or when as many rows ask as before. Then rows over an exact
+    quota move to shards under it, rows without links first, then whole groups (in pieces of about PIECE rows, where they
+    are larger). Only a group that no shard can hold is split beforehand, into parts that vote apart.
 
 The driver sees only the counts by pair of shards. Nothing but (id, size, crc, link, shard) is shuffled, never the text.
 """
@@ -22,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.shared import checkpointed, prefix_sums, unsigned_crc32
+from basketlens.llm.shared import checkpointed, prefix_sums, sent_if_few, unsigned_crc32
 
 SHARDS = 8
-ROUNDS = 6
-SLACK = 0.02
-PART = 8
+#: Rows of one group that are numbered together when rows over the quota move.
+PIECE = 100_000
 
 
 def byte_size(text: Column) -> Column:
@@ -49,26 +48,30 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), index + 1)
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Rows with columns h (a hash of the row), link and shard, their shards improved by label propagation."""
+def propagate(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows with columns h (a hash of the row), link and shard, their shards improved by label propagation; adds part and piece."""
     total = rows.count()
-    limit = max(1, total // (shards * PART))
-    groups = rows.where("link is not null").groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    rows = rows.join(groups, "link", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "h"), F.col("parts")).cast("int"))).drop("parts")
+    limit = max(1, total // shards)
+    groups = rows.where("link is not null").groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
+    groups = sent_if_few(groups.select("link", F.ceil(F.col("n") / limit).cast("int").alias("parts"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")))
+    of = lambda seed, n: F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "h"), F.col(n)).cast("int"))
+    rows = rows.join(groups, "link", "left").withColumn("part", of(3, "parts")).withColumn("piece", F.xxhash64("link", "part", of(4, "pieces"))).drop("parts", "pieces")
     rows = checkpointed(rows)
-    for r in range(rounds):
+    r, asked = 0, total + 1
+    while True:
         linked = rows.where("part is not null")
         votes = linked.groupBy("link", "part", "shard").agg(F.count("*").alias("n"))
         lead = votes.groupBy("link", "part").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")).alias("top"), F.sum("n").alias("size"))
         moving = lead.where("top.n < size").select("link", "part", F.col("top.shard").alias("to"))
         asking = checkpointed(votes.join(moving, ["link", "part"]).where("shard <> to").groupBy("shard", "to").agg(F.sum("n").alias("n")))
         flows = {(x["shard"], x["to"]): x["n"] for x in asking.collect()}
-        if not flows:
+        if not flows or sum(flows.values()) >= asked:
             break
-        have = {x["shard"]: x["count"] for x in rows.groupBy("shard").count().collect()}
-        share = _quotas([have.get(s, 0) for s in range(shards)], flows, (1 + SLACK) * total / shards)
+        r, asked = r + 1, sum(flows.values())
+        have = {x["shard"]: x["count"] for x in linked.groupBy("shard").count().collect()}
+        share = _quotas([have.get(s, 0) for s in range(shards)], flows, total / shards)
         chance = F.pmod(F.xxhash64(F.lit(r), "link", "part"), F.lit(1_000_000)) / 1e6
-        let_in = moving.where(chance < _pick(share, F.col("to")))
+        let_in = sent_if_few(moving.where(chance < _pick(share, F.col("to"))))
         after = rows.join(let_in, ["link", "part"], "left").withColumn("shard", F.coalesce("to", "shard")).select(*rows.columns)
         rows = checkpointed(after)
     return rows
@@ -86,7 +89,8 @@ def balanced(rows: DataFrame, shards: int) -> DataFrame:
     excess = [max(0, c - q) for c, q in zip(counts, quota, strict=True)]
     if not any(excess):
         return rows.drop("held", "one")
-    ranked = prefix_sums(rows, ["shard", "held"], ["doc_id", "h"], {"rank": "one"}, seed=5)
+    rows = rows.withColumn("together", F.when(F.col("held") == 1, F.col("piece")).otherwise(F.col("h")))
+    ranked = prefix_sums(rows, ["shard", "held"], ["together", "doc_id", "h"], {"rank": "one"}, seed=5, by=["together"])
     rank = F.col("rank") + F.when(F.col("held") == 1, _pick([have.get((s, 0), 0) for s in range(shards)], F.col("shard"))).otherwise(0)
     mover = F.when(rank < _pick(excess, F.col("shard")), rank + _pick([sum(excess[:s]) for s in range(shards)], F.col("shard")))
     to, filled = F.lit(None).cast("int"), 0
@@ -98,7 +102,7 @@ def balanced(rows: DataFrame, shards: int) -> DataFrame:
             filled += room
     for end, s in reversed(places):
         to = F.when(mover < end, F.lit(s)).otherwise(to)
-    return ranked.withColumn("shard", F.coalesce(to, "shard")).drop("held", "one", "rank")
+    return ranked.withColumn("shard", F.coalesce(to, "shard")).drop("held", "one", "rank", "together")
 
 
 def shards(documents: DataFrame, count: int = SHARDS, link: Column | None = None, text_col: str = "text") -> DataFrame:

@@ -16,10 +16,12 @@ SLICE_BITS = 12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none (tests)."""
+    """The folder that all executors share; a folder of this machine only for a local master whose session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    named = named or tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -37,6 +39,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of wider rows is broadcast up to this many.
+FEW_ROWS = 250_000
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """A side of a join, stored and counted: sent to every task up to FEW_ROWS rows, so that no hot key of the other side is
+    one task; beyond that both sides are shuffled, and adaptive execution splits what is hot."""
+    few = stored(df, "side")
+    return F.broadcast(few) if few.count() <= FEW_ROWS else few
+
+
 def semi_join(df: DataFrame, ids: DataFrame, on: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is in ids: broadcast if n_ids (counted by the caller) is within the bound, else shuffled."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, on, "left_semi")
@@ -55,15 +68,16 @@ def unsigned_crc32(text: Column) -> Column:
     return F.crc32(text.cast("binary"))
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], seed: int = 0) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
     """Add, within each key, running sums over rows in a fixed pseudo-random order.
 
-    The order is that of a hash of the `order` columns, then those columns. `sums` maps a new column to a long column;
+    The order is that of a hash of the `by` columns (by default the `order` columns), then of the `order` columns. Rows that
+    agree in all `by` columns are in one slice. `sums` maps a new column to a long column;
     the new column has the sum over the rows before this one (exclusive). No key's rows meet in one task: rows are
     windowed within 2**SLICE_BITS slices of the hash, and only one total for each key and slice is summed over slices.
     """
     h, s, names = free_name(df, "_order_hash"), free_name(df, "_slice"), list(sums)
-    df = df.withColumn(h, F.xxhash64(F.lit(seed), *(F.col(c) for c in order))).withColumn(s, F.shiftright(F.col(h), 64 - SLICE_BITS).cast("int"))
+    df = df.withColumn(h, F.xxhash64(F.lit(seed), *(F.col(c) for c in by or order))).withColumn(s, F.shiftright(F.col(h), 64 - SLICE_BITS).cast("int"))
     totals = df.groupBy(*keys, s).agg(*(F.sum(sums[n]).alias(n) for n in names))
     over_slices = Window.partitionBy(*keys).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*(F.col(k).alias(f"_o_{k}") for k in keys), F.col(s).alias("_o_slice"), *(F.coalesce(F.sum(n).over(over_slices), F.lit(0)).alias(f"_o_{n}") for n in names))

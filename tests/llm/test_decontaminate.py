@@ -60,7 +60,8 @@ def test_blocks_of_patterns_agree(spark, monkeypatch):
 
 
 def test_empty_tables(spark):
-    assert run(spark, [(1, "a b")], [(None, "a b")])[1][1:3] == (0, 0)
+    # an item without an id: its words are hit, no item is named
+    assert run(spark, [(1, "a b c")], [(None, "a b")])[1][:3] == (3, 2, 0)
     assert run(spark, [], [(1, "a b")]) == {}
 
 

@@ -55,6 +55,20 @@ def test_targets_and_taken(spark):
     assert all(0 <= r.position <= 1 for r in first if r.position is not None)
 
 
+def test_repeated_rows_long_texts_and_order(spark):
+    rows = [(1, "w " * 5, "a")] * 40 + [(2, "w " * 50_000, "b"), (None, "w", "b"), (None, "w", "b"), (3, None, "c"), (4, "x " * 3, None)]
+    df = table(spark, rows)
+    out = mix(df).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault((r.doc_id, r.size), []).append(r.taken)
+    assert len(by[1, 5]) == 40 and by[3, 0] == [0] and all(t in (0, 50_000, 100_000) for t in by[2, 50_000])
+    at = [r.position for r in out]
+    taken = [p for p in at if p is not None]
+    assert taken == sorted(taken) and at[: len(taken)] == taken
+
+
 def test_all_sources_capped_or_empty(spark):
     assert mix(table(spark, [])).collect() == []
     assert [r.taken for r in mix(table(spark, [(1, None, None)])).collect()] == [0]

@@ -39,6 +39,8 @@ def test_stages_take_odd_rows(spark, tiny):
             out = stage(spark, table, tiny)
             assert out.columns == table.columns
             out.collect()
+        placed = cp.sharding_stage(spark, table, tiny).collect()
+        assert len(placed) == table.count() and sorted((r.shard, r.slot) for r in placed) == sorted({(r.shard, r.slot) for r in placed})
     kept = [r.doc_id for r in cp.dedup_stage(spark, docs, tiny).collect()]
     assert sorted(kept, key=str) == [1, 2, 3, None]
 
