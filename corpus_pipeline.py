@@ -48,12 +48,21 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
+    """Each document as often as the mix takes it, in training order.
+
+    Rows with a null id, text or source count like others (see `mix`); rows without words, and sources of such rows only,
+    are taken as their place in the order says or not at all; rows that repeat an id are taken one by one. Other columns
+    of any name pass through. An empty table stays empty.
+    """
     return training_order(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and the slot in it of every row."""
+    """The shard and the slot in it of every row.
+
+    Rows with a null id or text, empty texts, ties and repeated rows are rows like any other and get slots of their own;
+    other columns are not read, whatever their names. An empty table gives an empty result.
+    """
     return shards(docs)
 
 
