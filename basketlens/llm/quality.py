@@ -10,9 +10,10 @@ Semantics (`train`, `Model.scores`)
     inputs of a score.
 
 Training
-    Lines take their document's label. The field is fitted by gradient ascent on the conditional likelihood to the lines
-    of at most TRAIN_DOCS labelled documents (a documented bound), first by a hash of their id; their features, not their
-    texts, come to the driver.
+    Lines take their document's label. The field is fitted by gradient ascent on the conditional likelihood to a bounded sample: the
+    texts of TRAIN_DOCS labelled documents at most, first by a hash of their id, in chains of CHAIN lines at most (features
+    are of the whole text), of which TRAIN_CHAINS at most are taken, first by a hash, too. So 60 MB of features at most come to the
+    driver, no texts, and a step of the fit is CHAIN steps over all chains at once, however long a text is.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from basketlens.llm.shared import BROADCAST_ROWS
 from basketlens.llm.text_hash import chunks, released, word_hashes
 
 TRAIN_DOCS = 4_000
+CHAIN = 64
+TRAIN_CHAINS = 6_000
 STEPS = 150
 CHUNK = 1 << 19
 
@@ -163,12 +166,14 @@ def fit(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = STE
     return model
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, quality) to (doc_id, chain, quality, n_lines, features of its lines)."""
     for batch in released(batches):
-        texts = batch.column(0).to_pylist()
-        for i, t in enumerate(texts):
-            x, _, n = line_features([t])
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array(n), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["quality", "n_lines", "x"])
+        for i, t in enumerate(batch.column(1).to_pylist()):
+            x = line_features([t])[0].astype(np.float32)
+            for k, begin in enumerate(range(0, x.shape[0], CHAIN)):
+                part = x[begin : begin + CHAIN]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([k]), batch.column(2).slice(i, 1), pa.array([part.shape[0]]), pa.array([part.tobytes()], pa.binary())], ["doc_id", "chain", "quality", "n_lines", "x"])
 
 
 def train(documents: DataFrame, labels: DataFrame, fold: Column, limit: int = TRAIN_DOCS) -> Model:
@@ -177,8 +182,9 @@ def train(documents: DataFrame, labels: DataFrame, fold: Column, limit: int = TR
     # some labelled ids may be absent from this table (an earlier stage dropped them), so the bound is taken after the join
     side = F.broadcast(wanted) if labels.count() <= BROADCAST_ROWS else wanted
     present = documents.select("doc_id").join(side, "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(limit)
-    sample = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(present), "doc_id").select("text", "quality")
-    rows = sample.mapInArrow(_features, "quality int, n_lines long, x binary").toArrow()
+    sample = documents.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(present), "doc_id").select("id", "text", "quality")
+    chains = sample.mapInArrow(_chains, "doc_id string, chain long, quality int, n_lines long, x binary")
+    rows = chains.orderBy(F.xxhash64("doc_id", "chain"), "x").limit(TRAIN_CHAINS).toArrow()
     if not rows.num_rows:
         return Model(np.zeros(1), np.zeros((2, 2)), trained=False)
     # in an order of their own, so that the sums of a fit do not depend on which task came first

@@ -1,10 +1,12 @@
 import itertools
+import time
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from basketlens.llm.queries import op2_quality
-from basketlens.llm.quality import Model, fit, line_features, quality
+from basketlens.llm.quality import Model, fit, line_features, quality, train
 
 
 def test_marginals_against_all_labellings():
@@ -59,6 +61,17 @@ def test_odd_rows_and_no_labels(spark):
     assert quality(docs.limit(0), labels).collect() == []
 
 
+def test_a_labelled_text_of_twenty_thousand_lines_trains_in_seconds(spark):
+    bad = "!!! ### $$$ *** %%%"
+    docs = spark.createDataFrame([(i, "Some plain words here.\n" * 5 if i % 2 else bad) for i in range(40)] + [(99, f"{bad}\n" * 20_000)] + [(77, "Some plain words here.")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 0), (77, 1)], "doc_id long, quality int")
+    begin = time.perf_counter()
+    model = train(docs, labels, F.lit(True))
+    assert time.perf_counter() - begin < 40
+    scores = model.scores([b"Some plain words here.", bad.encode()])
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -66,4 +79,6 @@ def test_held_out_accuracy(spark):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    for label in (0, 1):  # a constant answer would miss one of the two
+        own = [a == b for a, b in held if b == label]
+        assert sum(own) >= 0.9 * len(own)
