@@ -23,7 +23,11 @@ def accepted_clicks(spark: SparkSession, sf_dir: str, gap_seconds: int = 3600) -
     return accepted_events(clicks(spark, sf_dir), ["session_id", "event_type"], gap_seconds).select("event_id", "session_id")
 
 
-@register("rate_limited", None)
+@register("rate_limited", """WITH RECURSIVE e AS (SELECT event_id, user_id AS session_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT session_id, rn, event_id, us AS opened, 1 AS n FROM e WHERE rn = 1
+    UNION ALL SELECT e.session_id, e.rn, e.event_id, CASE WHEN e.us < w.opened + 86400000000 THEN w.opened ELSE e.us END, CASE WHEN e.us < w.opened + 86400000000 THEN w.n + 1 ELSE 1 END
+    FROM w JOIN e ON e.session_id = w.session_id AND e.rn = w.rn + 1)
+    SELECT event_id, session_id, n <= 3 AS allowed FROM w""")
 def rate_limited(spark: SparkSession, sf_dir: str, most: int = 3, window_seconds: int = 86_400) -> DataFrame:
     """Fixed windows that open with a session's first event: the first `most` events of each window pass."""
     return windowed_limit(clicks(spark, sf_dir), "session_id", most, window_seconds).select("event_id", "session_id", "allowed")
