@@ -10,9 +10,10 @@ Method
     Rows start on the shard of a hash of their id. In each round every link group votes (pre-aggregated counts of its rows
     by shard), and its rows outside the leading shard ask to move there. A quota for each target is found so that the linked
     rows of no shard pass its capacity, a mean share of all rows (unlinked rows make room later), and whole groups are let
-    through by a hash in that proportion, so a group moves together. Rounds end when nothing asks to move or when as many rows ask as before. Then rows over an exact
-    quota move to shards under it, rows without links first, then whole groups (in pieces of about PIECE rows, where they
-    are larger). Only a group that no shard can hold is split beforehand, into parts that vote apart.
+    through by a hash in that proportion, so a group moves together. Rounds end when nothing asks to move or when as many
+    rows ask as before. Then rows over an exact quota move to shards under it, rows without links first, then whole groups
+    (in pieces of about PIECE rows, where they are larger). Only a group that no shard can hold is split beforehand, into
+    parts that vote apart.
 
 The driver sees only the counts by pair of shards. Nothing but (id, size, crc, link, shard) is shuffled, never the text.
 """
