@@ -94,7 +94,7 @@ def classify(chain: Column, name: Column, native: Column, rules: Rules = DEFAULT
 
 
 # Patterns of drinks and breakfast goods over folded names; a Latin word that must end is followed by no ASCII word character.
-_END = "(?![A-Za-z0-9_])"
+_END = r"(?!\w)"
 _WATER = "νερο|water|εμφιαλωμεν|μεταλλικο|επιτραπεζιο"
 _SOFT = "αναψυκ|cola|coca|pepsi|fanta|sprite|σοδα|soda|tonic|λεμοναδ|πορτοκαλαδ|γκαζοζ|energy drink|red bull|monster|powerade|schweppes"
 _COFFEE = "καφε|coffee|nescafe|espresso|nespresso|καπουτσιν|φραπε"

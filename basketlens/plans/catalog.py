@@ -65,7 +65,12 @@ def externally_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_by(rows, lambda s: s.str.len(), "product_name").select("product_id", "score")
 
 
-@register("expiry_labels", None)
+@register("expiry_labels", sql(f"""WITH d AS (SELECT offer_id, original_price IS NOT NULL AS r, created_at AS c, valid_until AS u, CAST(date_diff('day', DATE '1998-09-02', CAST(valid_until + INTERVAL 3 HOUR AS DATE)) AS INTEGER) AS n,
+        created_at > TIMESTAMP '{OFFERS_NOW}' AS later FROM live_offers)
+    SELECT offer_id, r AS real, r AND later AS upcoming, r AND n BETWEEN 0 AND 2 AS urgent, CASE WHEN r THEN n END AS days_left,
+        CASE WHEN r THEN CASE WHEN later THEN 'Ξεκινά ' || strftime(c, '%d/%m') WHEN n = 0 THEN 'Λήγει σήμερα' WHEN n = 1 THEN 'Λήγει αύριο' WHEN n = 2 THEN 'Λήγει σε 2 μέρες' ELSE 'Έως ' || strftime(u, '%d/%m') END END AS chip,
+        CASE WHEN NOT r THEN 'Σε ισχύ' WHEN n = 0 THEN 'Τελειώνει σήμερα' WHEN n = 1 THEN 'Τελειώνει αύριο' WHEN n = 2 THEN 'Τελειώνει σε 2 μέρες' ELSE 'Σε ' || n || ' ημέρες' END AS status,
+        CASE WHEN r THEN 'έως ' || strftime(u, '%d/%m/%Y') ELSE 'ελέγχθηκε ' || strftime(c, '%d/%m/%Y') END AS status_sub, CASE WHEN r THEN strftime(c, '%d/%m/%Y') END AS start_full FROM d"""))
 def expiry_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = live_offers(spark, sf_dir)
     label = expiry(F.col("created_at"), F.col("valid_until"), F.col("created_at"), F.col("original_price").isNotNull(), ts(OFFERS_NOW))

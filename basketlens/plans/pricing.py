@@ -103,7 +103,8 @@ def cluster_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("offer_id", (F.col("n") - 1).alias("others"), F.when(F.col("here") > 1, F.col("k")).otherwise(F.col("k") - 1).alias("chains"))
 
 
-@register("similar_names", None)
+@register("similar_names", sql("""WITH n AS (SELECT DISTINCT category || '/' || brand AS block, product_name || ' ' || brand AS name, string_split(product_name, ' ') AS w FROM products)
+    SELECT a.block, a.name AS a, b.name AS b FROM n a JOIN n b ON a.block = b.block AND a.name < b.name WHERE len(list_intersect(a.w, b.w)) = 1"""))
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct names (with brand) of one category and brand that pass the variant, quantity and similarity guards."""
     names = products(spark, sf_dir).select(F.concat_ws("/", "category", "brand").alias("block"), F.concat_ws(" ", "product_name", "brand").alias("name")).distinct()

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from basketlens.bindings import OFFERS_NOW, clicks, live_offers, observations, products, sql, ts
 from basketlens.functions.packs import pack_count
 from basketlens.functions.similarity import name_similarity, quantity_conflict, variant_conflict
-from basketlens.functions.taxonomy import Rules, brands_agree, classify
+from basketlens.functions.taxonomy import Rules, classify
 from basketlens.functions.text import tokens
 from basketlens.operators.compare import top_overlaps
 from basketlens.operators.dedupe import dedupe_offers
 from basketlens.operators.ranking import best_per_key, cap_per_group, ranked
+from basketlens.operators.resolve import checked_verdicts, resolve_by_tokens
 from basketlens.plans.ordered import pool
 from basketlens.registry import register
 
@@ -119,21 +120,53 @@ def classified_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).select("product_id", classify(F.col("brand"), F.col("product_name"), F.col("category"), PART_RULES)["dept"].alias("dept"))
 
 
-@register("recategorized_products", None)
+@register("recategorized_products", sql(f"""WITH c AS (SELECT product_id, product_name AS n, CASE WHEN contains(product_name, 'hot ') THEN 'override' WHEN brand = 'Brand#1' AND category = 'SMALL' THEN 'chain' WHEN brand = 'Brand#1' AND category = 'LARGE' THEN 'chain-mixed' WHEN category = 'PROMO' THEN 'native-alias' ELSE 'name' END AS how, category,
+    CASE WHEN regexp_matches(product_name, '(^| )bolt( |$)') THEN '=bolt' WHEN regexp_matches(product_name, '(^| )screw( |$)') THEN 'screw' WHEN regexp_matches(product_name, '(^| )ring( |$)') THEN 'ring' ELSE nullif(regexp_replace(regexp_extract(product_name, '(gear|anvil|gizmo|widget|plate)$'), 'anvil', '=anvil'), '') END AS term FROM products),
+    d AS (SELECT *, CASE WHEN term IN ('=bolt', 'screw') THEN 'fasteners' WHEN term = 'ring' THEN 'rings' WHEN term IN ('gear', '=anvil', 'gizmo') THEN 'machines' WHEN term IS NOT NULL THEN 'goods' ELSE 'unsorted' END AS by_name FROM c),
+    e AS (SELECT product_id, 'goods' AS stored, CASE how WHEN 'override' THEN 'hot things' WHEN 'chain' THEN 'small goods' WHEN 'native-alias' THEN 'promotions' ELSE by_name END AS dept, how AS via, CASE WHEN how = 'native-alias' THEN category WHEN how IN ('name', 'chain-mixed') THEN term END AS term FROM d)
+    SELECT product_id, stored, dept, via, term FROM e WHERE dept NOT IN ('unsorted', 'goods')"""))
 def recategorized_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New departments where they differ from the stored one; a stored department is never given up for none."""
-    rows = products(spark, sf_dir).select("product_id", F.lit("goods").alias("stored"), classify(F.col("brand"), F.col("product_name"), F.col("category"), PART_RULES).alias("c"))
-    return rows.where((F.col("c.dept") != PART_RULES.other) & ~F.col("c.dept").eqNullSafe(F.col("stored"))).select("product_id", "stored", "c.dept", "c.via", "c.term")
+    dept = classify(F.col("brand"), F.col("product_name"), F.col("category"), PART_RULES)
+    # a generator, so that the filter does not repeat the classifier
+    changed = F.inline(F.filter(F.array(dept), lambda c: (c["dept"] != PART_RULES.other) & ~c["dept"].eqNullSafe(F.lit("goods"))))
+    return products(spark, sf_dir).select("product_id", F.lit("goods").alias("stored"), changed).drop("mapped")
 
 
-@register("resolved_names", None)
+@register("resolved_names", sql("SELECT * FROM (VALUES ('r1', NULL, 'tokens'), ('r2', (SELECT min(product_id) FROM products WHERE product_name = 'hot gear'), NULL), ('r3', NULL, 'brand'), ('r4', NULL, 'tokens'), ('r5', NULL, 'no candidate')) v(raw_id, product_id, reject_reason)"))
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw names to products without a model: of the ten best by token overlap, accept one that holds all tokens and has the
-    brand and pack of the raw name; others stay for review with the reason."""
+    """A few raw names to products without a model; names of two words may be accepted here."""
     raw = spark.createDataFrame([("r1", "small red bolt"), ("r2", "hot gear"), ("r3", "6x hot gear"), ("r4", "gear hot thing"), ("r5", "unknown")], "raw_id string, raw string")
-    named = raw.withColumn("tokens", tokens(F.col("raw")))
-    catalog = products(spark, sf_dir).select("product_id", "product_name", tokens(F.col("product_name")).alias("tokens"))
-    best = top_overlaps(named, catalog, "raw_id", "product_id", 10).join(catalog.select("product_id", "product_name"), "product_id").join(named.select("raw_id", "raw", F.size("tokens").alias("n")), "raw_id")
-    reason = F.when(F.col("score") < F.col("n"), "tokens").when(~brands_agree(F.col("raw"), F.col("product_name")), "brand").when(pack_count(F.col("raw")) != pack_count(F.col("product_name")), "pack")
-    top = best_per_key(best.withColumn("reason", reason), ["raw_id"], [F.col("reason").isNotNull().cast("int"), F.desc("score"), F.asc("product_id")])
-    return raw.join(top, "raw_id", "left").select("raw_id", F.when(F.col("reason").isNull(), F.col("product_id")).alias("product_id"), F.coalesce("reason", F.when(F.col("product_id").isNull(), "no candidate")).alias("reject_reason"))
+    return resolve_by_tokens(raw, products(spark, sf_dir), least=2)
+
+
+def _raw_names(rows: DataFrame) -> DataFrame:
+    """Raw names that the catalog's own names are altered to, as the size says: the same, a word more, a pack, or turned round."""
+    name, form = F.col("product_name"), F.col("size") % 4
+    raw = F.when(form == 0, name).when(form == 1, F.concat(name, F.lit(" special"))).when(form == 2, F.concat(name, F.lit(" 6 x 2"))).otherwise(F.concat_ws(" ", F.reverse(F.split(name, " "))))
+    return rows.select(F.col("product_id").alias("raw_id"), raw.alias("raw"), name.alias("product_name"), "size")
+
+
+def _distinct_names(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("product_name").agg(F.min("product_id").alias("product_id"))
+
+
+@register("resolved_products", sql("""SELECT p.product_id AS raw_id, CASE WHEN size % 4 = 0 THEN m.id END AS product_id, CASE size % 4 WHEN 1 THEN 'tokens' WHEN 2 THEN 'pack' WHEN 3 THEN 'brand' END AS reject_reason
+    FROM products p JOIN (SELECT product_name, min(product_id) AS id FROM products GROUP BY product_name) m USING (product_name)"""))
+def resolved_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An altered name of each product to one product a name; the catalog is the distinct names, so tokens are rare in it."""
+    rows = products(spark, sf_dir)
+    return resolve_by_tokens(_raw_names(rows).select("raw_id", "raw"), _distinct_names(rows), least=2)
+
+
+@register("checked_verdicts", sql("""WITH m AS (SELECT product_name, min(product_id) AS id FROM products GROUP BY product_name),
+    r AS (SELECT p.product_id AS raw_id, size, CASE WHEN size % 5 = 0 THEN -1 ELSE m.id END AS suggestion, CASE WHEN size < 10 THEN NULL ELSE 80 + size END AS confidence FROM products p JOIN m USING (product_name)),
+    c AS (SELECT raw_id, suggestion, CASE WHEN confidence IS NULL OR confidence < 90 THEN 'low confidence' WHEN suggestion = -1 THEN 'no candidate' WHEN size % 4 = 3 THEN 'brand' WHEN size % 4 = 2 THEN 'pack' END AS reject_reason FROM r)
+    SELECT raw_id, CASE WHEN reject_reason IS NULL THEN suggestion END AS product_id, reject_reason FROM c"""))
+def checked_verdicts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of a made-up scorer over the altered names, of which some are unsure and some suggest no candidate."""
+    rows = products(spark, sf_dir)
+    offered = _raw_names(rows).join(_distinct_names(rows), "product_name").select("raw_id", "raw", "size", "product_id", "product_name")
+    suggestion = F.when(F.col("size") % 5 == 0, F.lit(-1).cast("long")).otherwise(F.col("product_id"))
+    verdicts = offered.select("raw_id", "raw", suggestion.alias("suggestion"), F.when(F.col("size") >= 10, F.col("size") + 80).alias("confidence"))
+    return checked_verdicts(verdicts, offered)
