@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -81,3 +82,43 @@ def test_query(spark, tiny):
     verify(rows, docs)
     long = [r for r in rows if r.n_chars > 1000]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.9 * len(long)
+
+
+M64, M1, M2, GOLD = 2**64 - 1, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15
+
+
+def plain_parse(text):
+    """The parse of one text, symbol by symbol with Python's integers; the mixing function alone is shared."""
+    mixed = lambda v: int(fp.mix(np.array([v & M64], dtype=np.uint64))[0])
+
+    def toss(symbol, before):
+        bit = 0
+        while not ((symbol ^ before) >> bit) & 1:
+            bit += 1
+        return 2 * bit + ((symbol >> bit) & 1)
+
+    symbols, level, names = [mixed(ord(c) + 1) for c in text], 0, set()
+    while symbols:
+        runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+        symbols = [s if n == 1 else mixed(s * M1 + n) for s, n in runs]
+        if level >= 1 or len(symbols) == 1:
+            names |= {mixed(s + GOLD * (level + 1)) >> 32 for s in symbols}
+        if len(symbols) == 1:
+            break
+        labels = symbols
+        for _ in range(2):
+            labels = [toss(x, labels[i - 1] if i else x ^ 1) for i, x in enumerate(labels)]
+        at = lambda i: labels[i] if i < len(labels) else 0
+        cuts = [0, *(i for i in range(2, len(labels)) if at(i - 1) < at(i) >= at(i + 1)), len(labels)]
+        phrases = [symbols[a:b] for a, b in itertools.pairwise(cuts)]
+        symbols = [mixed(sum(mixed(s * M1 + k * M2) for k, s in enumerate(p)) + len(p)) for p in phrases]
+        level += 1
+    return "".join(f"{n:08x}" for n in sorted(names)[: fp.KEEP])
+
+
+def test_equals_a_plain_parse():
+    rng = random.Random(9)
+    texts = ["", "a", "aaaa", "ab" * 40, "αβγ δέ ζ" * 30, "x\u0000y\U0001f600z" * 9]
+    texts += ["".join(rng.choice(rng.choice(["ab", "abc ", "abcdefghijklmnop qrstuvwxyz"])) for _ in range(rng.randrange(1, 700))) for _ in range(60)]
+    for got, text in zip(fp.Parser().sketches([fp.code_points(t.encode()) for t in texts]), texts, strict=True):
+        assert fp._hex(got) == plain_parse(text)
