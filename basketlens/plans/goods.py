@@ -17,15 +17,14 @@ from basketlens.functions.text import ean_hits, is_uuid, parse_euro, to_greek
 from basketlens.functions.validate import local_timestamp
 from basketlens.registry import register
 
-_SIZE = F.col("size").cast("string")
-
 
 def _packed_name() -> Column:
     """The product's name with a pack of a kind that its category decides and of a number that its size decides."""
+    size = F.col("size").cast("string")
     pack = (
-        F.when(F.col("category") == "PROMO", F.concat(F.lit("200gr "), _SIZE, F.lit("+"), (F.col("size") % 5 + 1).cast("string"), F.lit(" δώρο")))
-        .when(F.col("category") == "SMALL", F.concat(_SIZE, F.lit(" x 330ml")))
-        .when(F.col("category") == "MEDIUM", F.concat(_SIZE, F.lit(" μεζούρες")))
+        F.when(F.col("category") == "PROMO", F.concat(F.lit("200gr "), size, F.lit("+"), (F.col("size") % 5 + 1).cast("string"), F.lit(" δώρο")))
+        .when(F.col("category") == "SMALL", F.concat(size, F.lit(" x 330ml")))
+        .when(F.col("category") == "MEDIUM", F.concat(size, F.lit(" μεζούρες")))
         .when(F.col("category") == "LARGE", F.concat((F.col("size") * 5).cast("string"), F.lit(" ΤΕΜΆΧΙΑ")))
         .when(F.col("category") == "ECONOMY", F.concat((F.col("size") * 100).cast("string"), F.lit("gr")))
         .otherwise("τιμή κιλού")
