@@ -60,8 +60,85 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string, unsigned: one step of the polynomial for each bit."""
+    bits = f"flatten([[ascii({text}[k]), 0, 0, 0, 0, 0, 0, 0] FOR k IN range(1, length({text}) + 1)])"
+    return f"xor(list_reduce([CAST(b AS BIGINT) FOR b IN list_prepend(4294967295, {bits})], lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+#: Stretches of words that are equal `period` words on: neighbouring pairs of equal 16-grams, as no run shares fewer words with its copy.
+OP11 = rf"""
+WITH h AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM h),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, 1 + CASE WHEN n > 0 THEN (n - g % n) // (3 + g % 8) END AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN a < n THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM a),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 16], ' ') AS s FROM (SELECT *, unnest(range(n - 15)) AS i FROM d WHERE n >= 24)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT doc_id, start, length, period, length * 1000 // period AS exponent_milli FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([o FOR o IN [{', '.join(options)}] IF o IS NOT NULL])[1]"
+
+
+def _edited(to: str, letter: str, cost: str, turn: str | None, only_if: str = "true") -> str:
+    """A (cost, audit, turns) that begins with an edit and goes on as `to`; null if the edit is not allowed."""
+    turns = f"list_prepend({turn}, {to}.t)" if turn else f"{to}.t"
+    return f"CASE WHEN {only_if} THEN {{'c': {to}.c + {cost}, 'a': '{letter}' || {to}.a, 't': {turns}}} END"
+
+
+def _row(state: int, kept: dict[str, int]) -> str:
+    """Best way on from a row in a state: deleted, kept where its initial leads on, or given the role that the state wants."""
+    want, role = (3, "'assistant:'") if state == 2 else (2, "'user:'")
+    keeps = [_edited(f"v{to}", "K", "e", "role || ':' || text", f"may AND x = '{initial}'") for initial, to in kept.items()]
+    return _least(_edited(f"v{state}", "D", "4", None), *keeps, _edited(f"v{want}", "R", "3 + e", f"{role} || text", "may"))
+
+
+#: Best edits from each grammar state on, from the last row to the first, as whole (cost, audit, turns).
+OP13 = rf"""
+WITH RECURSIVE k AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), c AS (SELECT *, {_crc32("key")} % 20 AS v FROM k
+), d AS (
+    SELECT conv_id, turn, CASE v WHEN 4 THEN 'user' ELSE role END AS role, CASE v WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE v WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM c WHERE v <> 0
+), n AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, substr(role, 1, 1) AS x FROM d
+), f AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+           lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM n
+), r AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS may, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS e FROM f
+), b(conv_id, i, v0, v1, v2, v3) AS (
+    SELECT conv_id, max(i), {{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 3, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} FROM r GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, i, {_least("b0", _edited("w2", "I", "3", "'user:'"))}, {_least("b1", _edited("w2", "I", "3", "'user:'"))}, w2, {_least("b3", _edited("b2", "I", "3", "'user:'"))}
+    FROM (SELECT *, {_least("b2", _edited("b3", "I", "3", "'assistant:'"))} AS w2
+          FROM (SELECT b.conv_id, b.i - 1 AS i, {_row(0, {"s": 1, "u": 2})} AS b0, {_row(1, {"u": 2})} AS b1, {_row(2, {"a": 3})} AS b2, {_row(3, {"u": 2})} AS b3
+                FROM b JOIN r ON b.conv_id IS NOT DISTINCT FROM r.conv_id AND b.i = r.i))
+), counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM r GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN (SELECT * FROM b WHERE i = 0) z ON o.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1,
     "op6_chat_format": OP6,
     "op8_decontaminate": OP8,
+    "op11_periodic_runs": OP11,
+    "op13_conversation_repair": OP13,
 }

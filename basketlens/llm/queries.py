@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketlens.llm.bpe import round_trip
 from basketlens.llm.chat import format_chats, probe, read_back
 from basketlens.llm.decontaminate import decontaminate
 from basketlens.llm.fingerprint import fingerprints
 from basketlens.llm.mixing import mix
 from basketlens.llm.near_dedup import near_duplicates
+from basketlens.llm.periodic import looped, periodic_runs, run_digests
 from basketlens.llm.quality import quality
+from basketlens.llm.repair import damaged, repaired
 from basketlens.llm.secrets import scan
 from basketlens.llm.sharding import shards
 from basketlens.llm.tokens import token_counts
@@ -64,6 +67,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a tenth of the texts are looped first, as this query's contract has it."""
+    return run_digests(periodic_runs(looped(table(spark, sf_dir, "documents"))))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows are damaged first, as this query's contract has it."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repaired(conversations, damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_quality, op3_mixing, op4_sharding, op5_token_counts, op6_chat_format, op7_toxicity, op8_decontaminate, op9_secrets, op10_fingerprints)
+    f.__name__: f
+    for f in (op1_near_dedup, op2_quality, op3_mixing, op4_sharding, op5_token_counts, op6_chat_format, op7_toxicity, op8_decontaminate, op9_secrets, op10_fingerprints, op11_periodic_runs, op12_byte_bpe, op13_conversation_repair)
 }
