@@ -38,7 +38,7 @@ PART, RUN = 1 << 15, 1 << 10
 RANKS_LIMIT = 1_000_000
 
 #: The code points of the Unicode property White_Space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\x09\x0a\x0b\x0c\x0d\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and punctuation by blocks that no version of Unicode changes; any others just offer no place to cut.
 LETTERS = "A-Za-zÀ-ÖØ-öα-ωА-яあ-んア-ン一-龥가-힣"
 PUNCTUATION = r"!-/:-@\[-`{-~、。，"
