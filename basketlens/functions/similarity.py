@@ -44,9 +44,12 @@ def salient_tokens(name: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
+    return token_similarity(salient_tokens(a), salient_tokens(b))
+
+
+def token_similarity(ta: Column, tb: Column) -> Column:
     """Shared tokens over all tokens. Each token of a, in order, takes an unused equal token of b, else one of which either
     is a prefix of the other and neither has a digit. The state of the fold is b's unused tokens."""
-    ta, tb = salient_tokens(a), salient_tokens(b)
 
     def take(acc: Column, t: Column) -> Column:
         free = acc["free"]

@@ -4,33 +4,120 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.num import half_up
-from basketlens.functions.similarity import comparable
+from basketlens.functions.packs import quantities, quantities_apart
+from basketlens.functions.similarity import FLOOR, salient_tokens, token_similarity, variant_families
+from basketlens.functions.text import let
 
 
-def top_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int | None) -> DataFrame:
-    """Right rows that share most tokens with each left row; a left token counts as often as it stands there.
+#: Postings for each of its k matches that the rarest tokens of a row may read before its k-th score bounds the rest.
+PROBE = 20
 
-    The tokens of both sides are exploded and joined, so only pairs that share a token are made. With k, the k best a
-    left row by score, then right id; without, all pairs.
+
+class _Overlaps:
+    """Both sides of an overlap join. Right rows with the same token list are one set; a row's tokens stand by rarity on the right.
+
+    `ranked` has a row for each distinct token of a left row that occurs on the right: `_upto`, the postings of it and of the
+    rarer tokens, `_place` among them, and `_rest`, how much it and the commoner ones can add to a score. A set that shares none of the rarer tokens
+    scores `_rest` at most.
+    """
+
+    def __init__(self, left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int | None = None):
+        """With `least` only the first so many right rows of each set, cut before they are shuffled."""
+        self.left_id, self.right_id = left_id, right_id
+        named = right.select(F.col(right_id), F.col("tokens").alias("_all")).where(F.size("_all") > 0)
+        equal = Window.partitionBy("_all")
+        if least is not None:
+            named = named.withColumn("_place", F.row_number().over(equal.orderBy(right_id))).where(F.col("_place") <= least).drop("_place")
+        # read five times below; blocks of a lost executor are made again, and clearCache() gives the room back
+        named = named.withColumn("_set", F.min(right_id).over(equal)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.members = named.select(right_id, "_set")
+        self.sets = named.where(F.col(right_id) == F.col("_set")).select("_set", F.size("_all").alias("_size"), F.array_distinct("_all").alias("_tokens"))
+        self.postings = self.sets.select("_set", "_size", F.explode("_tokens").alias("_t"))
+        counted = left.select(F.col(left_id), F.explode("tokens").alias("_t")).groupBy(left_id, "_t").agg(F.count("*").alias("_n"))
+        self.weights = counted.groupBy(left_id).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_n"))).alias("_weights"), F.sum("_n").alias("_total"))
+        rarity = Window.partitionBy(left_id).orderBy("_df", "_t")
+        upto = F.sum("_df").over(rarity.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rest = F.sum("_n").over(rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        frequency = self.postings.groupBy("_t").agg(F.count("*").alias("_df"))
+        self.ranked = counted.join(frequency, "_t").select(left_id, "_t", upto.alias("_upto"), F.row_number().over(rarity).alias("_place"), rest.alias("_rest"))
+
+    def scored(self, hits: DataFrame) -> DataFrame:
+        """The exact score of each (left row, set) once, from whole token lists."""
+        pairs = hits.select(self.left_id, "_set").distinct().join(self.weights, self.left_id).join(self.sets, "_set")
+        shared = F.array_intersect(F.map_keys("_weights"), "_tokens")
+        score = F.aggregate(shared, F.lit(0).cast("long"), lambda s, t: s + F.col("_weights")[t])
+        return pairs.select(self.left_id, "_set", "_size", "_total", score.alias("score"))
+
+
+def top_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int) -> DataFrame:
+    """The k right rows that share most tokens with each left row, by score, then right id; a left token counts as often as it stands there.
+
+    Exact, by prefixes: the rarest tokens of a left row give candidates, whose k-th score is a bound; a right row that shares
+    none of them can only reach it if it shares a token whose `_rest` does, so commoner tokens are looked up as far as that.
+    Pairs that share common tokens alone are never made unless they can be among the k. Rows of equal token lists are scored once.
     """
-    a = left.select(left_id, F.explode("tokens").alias("t")).groupBy(left_id, "t").agg(F.count("*").alias("n"))
-    b = right.select(right_id, F.explode(F.array_distinct("tokens")).alias("t"))
-    scored = a.join(b, "t").groupBy(left_id, right_id).agg(F.sum("n").alias("score"))
-    if k is None:
-        return scored
-    rn = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc(right_id)))
-    return scored.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn")
+    sides = _Overlaps(left, right, left_id, right_id, k)
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc(right_id)))
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.select(left_id, "_set", "score").join(sides.members, "_set").select(left_id, right_id, "score").withColumn("_rn", place).where(F.col("_rn") <= k).drop("_rn")
+
+    rare = (F.col("_upto") <= PROBE * k) | (F.col("_place") == 1)
+    first = sides.scored(sides.ranked.where(rare).join(sides.postings, "_t"))
+    bound = best(first).groupBy(left_id).agg(F.when(F.count("*") == k, F.min("score")).alias("_bound"))
+    open_ = sides.ranked.where(~rare).join(bound, left_id, "left").where(F.col("_rest") >= F.coalesce("_bound", F.lit(1)))
+    more = sides.scored(open_.join(sides.postings, "_t").select(left_id, "_set").join(first.select(left_id, "_set"), [left_id, "_set"], "left_anti"))
+    return best(first.unionByName(more))
+
+
+def overlaps_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str, floor: float) -> DataFrame:
+    """Pairs that share at least `floor` of the shorter side's tokens (left tokens counted as often as they stand there), with that share.
+
+    The rarest token that a pair shares leaves enough to reach the floor with it and commoner ones; other hits are dropped before pairs are made.
+    """
+    if not floor > 0:
+        raise ValueError("a floor of 0 lets every pair pass")
+    sides = _Overlaps(left, right, left_id, right_id)
+    ranked = sides.ranked.join(sides.weights.select(left_id, "_total"), left_id)
+    shorter = F.least("_total", "_size")
+    hits = ranked.join(sides.postings, "_t").where(F.col("_rest") / shorter >= floor)
+    pairs = sides.scored(hits).withColumn("share", F.col("score") / shorter).where(F.col("share") >= floor)
+    return pairs.join(sides.members, "_set").select(left_id, right_id, "share")
 
 
 def comparable_pairs(names: DataFrame, group: str, name: str) -> DataFrame:
-    """Pairs of names of one group (a < b) that the guards let through."""
-    a, b = names.select(group, F.col(name).alias("a")), names.select(group, F.col(name).alias("b"))
-    pairs = a.join(b, group).where("a < b")
-    return pairs.where(comparable(F.col("a"), F.col("b"))).select(group, "a", "b")
+    """Pairs of names of one group (a < b) that the guards let through; repeated names count once.
+
+    No two names meet unless the guards may let them: their variant families are equal (a join key), their numbers n and m
+    of salient tokens allow the similarity (both are keys), and they share one of the rarest tokens. Of n tokens a pair
+    needs (n + m) * FLOOR / (1 + FLOOR) in common, so two names that pass share one of the n - needed + 1 rarest of one and
+    of the m - needed + 1 rarest of the other. Tokens count as equal here if they may be equal or one begin with the other:
+    those with digits by themselves, others by their first two letters (none is shorter), numbered where they repeat.
+    Quantities are tokens, too; whether they are apart is tested, like the rest, on the pairs that are left.
+    """
+    rows = names.select(F.col(group).alias("_group"), F.col(name).alias("_name")).dropna().distinct()
+    rows = rows.select("_group", "_name", salient_tokens(F.col("_name")).alias("tokens"), variant_families(F.col("_name")).alias("families"), quantities(F.col("_name")).alias("q"))
+    stem = lambda t: F.when(t.rlike("[0-9]"), t).otherwise(F.substring(t, 1, 2))
+    numbered = lambda ks: F.transform(ks, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(ks, 1, i + 1), lambda y: y == x)).cast("string")))
+    keyed = rows.where(F.size("tokens") > 0).select("_group", "_name", "families", F.explode(let(F.transform("tokens", stem), numbered)).alias("key"))
+    frequency = keyed.groupBy("_group", "key").agg(F.count("*").alias("df"))
+    ranked = keyed.join(frequency, ["_group", "key"]).groupBy("_group", "_name", "families").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    n = F.size("keys")
+    sizes = F.sequence(F.ceil(n * FLOOR).cast("int"), F.floor(n / FLOOR).cast("int"))
+    index = ranked.select("_group", "_name", "families", "keys", n.alias("n"), F.explode(sizes).alias("m"))
+    needed = F.ceil((F.col("n") + F.col("m")) * (FLOOR / (1 + FLOOR)) - 1e-9).cast("int")
+    index = index.select("_group", "families", "n", "m", F.explode(F.slice("keys", F.lit(1), F.greatest(F.col("n") - needed + 1, F.lit(0)))["key"]).alias("key"), "_name")
+    a, b = index.withColumnRenamed("_name", "a"), index.select("_group", "families", F.col("m").alias("n"), F.col("n").alias("m"), "key", F.col("_name").alias("b"))
+    pairs = a.join(b, ["_group", "families", "n", "m", "key"]).where("a < b").select("_group", "a", "b").distinct()
+    side = lambda x: rows.select("_group", F.col("_name").alias(x), F.col("tokens").alias(f"t_{x}"), F.col("q").alias(f"q_{x}"))
+    known = pairs.join(side("a"), ["_group", "a"]).join(side("b"), ["_group", "b"])
+    passed = known.where(~quantities_apart(F.col("q_a"), F.col("q_b")) & (token_similarity(F.col("t_a"), F.col("t_b")) >= FLOOR))
+    return passed.select(F.col("_group").alias(group), "a", "b")
 
 
 def waterfall(rows: DataFrame, steps: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, obs
 from basketlens.functions.num import half_up, is_price
 from basketlens.functions.scores import hot_score, percent_above, verdict
 from basketlens.functions.text import brand_token, tokens
-from basketlens.operators.compare import cheaper_alternatives, comparable_pairs, top_overlaps, waterfall
+from basketlens.operators.compare import cheaper_alternatives, comparable_pairs, overlaps_of, top_overlaps, waterfall
 from basketlens.registry import register
 
 _STATS = f"""stats AS (SELECT product_id, min(price) AS low, max(price) AS high, CAST(sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS mean, count(*) AS points
@@ -127,8 +127,7 @@ def best_image_match(spark: SparkSession, sf_dir: str, floor: float = 0.6) -> Da
     """The best catalog row of each name by overlap over the shorter side, if it reaches the floor."""
     raw = spark.createDataFrame([("a", "red widget"), ("b", "large steel anvil")], "id string, name string").select("id", tokens(F.col("name")).alias("tokens"))
     catalog = products(spark, sf_dir).select("product_id", tokens(F.col("product_name")).alias("tokens"))
-    sizes = top_overlaps(raw, catalog, "id", "product_id", None).join(raw.select("id", F.size("tokens").alias("n")), "id").join(catalog.select("product_id", F.size("tokens").alias("m")), "product_id")
-    scored = sizes.select("id", "product_id", (F.col("score") / F.least("n", "m")).alias("score")).where(F.col("score") >= floor)
+    scored = overlaps_of(raw, catalog, "id", "product_id", floor).withColumnRenamed("share", "score")
     return scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.asc("product_id")))).where("rn = 1").drop("rn")
 
 
