@@ -5,7 +5,8 @@ A key's events are not gathered: Spark sorts partitions by key and time, and a t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +42,36 @@ def _walked(rows: DataFrame, keys: Sequence[str], decide, name: str) -> DataFram
     return ready.mapInArrow(walk, schema)
 
 
-def accepted_events(rows: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFrame:
-    """Rows at least the gap after the last accepted row of their key; columns (ts, event_id) give the order."""
+@dataclass(frozen=True)
+class Rule:
+    """decide(state, microseconds) -> (state, value) for a key's events in order; a state is a pair and does not matter from until(state) on."""
+
+    decide: Callable[[tuple[int, int] | None, int], tuple[tuple[int, int] | None, bool]]
+    until: Callable[[tuple[int, int]], int]
+
+
+def gap_rule(gap_seconds: int) -> Rule:
+    """True at least the gap after the last true event."""
     gap = gap_seconds * 1_000_000
-    return _walked(rows, keys, lambda last, at: (at, True) if last is None or at - last >= gap else (last, False), "accepted").where("accepted").drop("accepted")
+    return Rule(lambda last, at: ((at, 0), True) if last is None or at - last[0] >= gap else (last, False), lambda last: last[0] + gap)
 
 
-def windowed_limit(rows: DataFrame, key: str, most: int, window_seconds: int) -> DataFrame:
-    """`allowed`: among the first `most` of a window that opens at the first event after the last window ended."""
+def window_rule(most: int, window_seconds: int) -> Rule:
+    """True for the first `most` events of a window that opens at the first event after the last window ended."""
     span = window_seconds * 1_000_000
 
     def decide(state, at):
         begin, n = state if state and at < state[0] + span else (at, 0)
         return (begin, n + 1), n < most
 
-    return _walked(rows, [key], decide, "allowed")
+    return Rule(decide, lambda state: state[0] + span)
 
+
+def accepted_events(rows: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFrame:
+    """Rows at least the gap after the last accepted row of their key; columns (ts, event_id) give the order."""
+    return _walked(rows, keys, gap_rule(gap_seconds).decide, "accepted").where("accepted").drop("accepted")
+
+
+def windowed_limit(rows: DataFrame, key: str, most: int, window_seconds: int) -> DataFrame:
+    """`allowed`: among the first `most` of a window that opens at the first event after the last window ended."""
+    return _walked(rows, [key], window_rule(most, window_seconds).decide, "allowed")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -28,42 +24,3 @@ def daily_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events a day and type; a day is final when the watermark has passed it, later events are dropped."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("day"), "event_type", "n")
-
-
-def accepted_stream(events: DataFrame, gap_seconds: int, late: str = "1 day") -> DataFrame:
-    """Events at least the gap after the last accepted one of their session and type.
-
-    The state of a key is the time of its last accepted event; it is dropped when the watermark has passed it by the gap.
-    """
-    gap = gap_seconds * 1000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        keep = []
-        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
-            ok = last is None or at - last >= gap * 1000
-            keep.append(ok)
-            last = at if ok else last
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + gap + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[keep, ["event_id", "session_id", "event_type", "ts"]]
-
-    keyed = events.withWatermark("ts", late).select("event_id", "session_id", "event_type", "ts").groupBy("session_id", "event_type")
-    return keyed.applyInPandasWithState(step, "event_id long, session_id long, event_type string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def upsert_batches(events: DataFrame, path: str):
-    """A foreachBatch sink that keeps the newest event of each session and product as a table of versions."""
-    from basketlens.operators.ingest import upsert
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("session_id", "product_id", "event_id", "event_type", "ts")
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else rows.limit(0)
-        upsert(old, rows, ["session_id", "product_id"], "event_id").write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return events.writeStream.foreachBatch(write)
