@@ -76,8 +76,8 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks(spark, sf_dir).groupBy("event_type", day).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cents")).select("event_type", F.col("window.start").alias("day"), "n", "cents")
 
 
-@register("alert_cooldown", _ACCEPT_SQL.replace("events_", "(SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS session_id, 'alert' AS event_type, ts FROM events WHERE event_type = 'purchase')").replace("GAP", "21600000000"))
+@register("alert_cooldown", _ACCEPT_SQL.replace("events_", "(SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS session_id, 'alert' AS event_type, ts FROM events WHERE event_type = 'purchase')").replace("GAP", "21600000000").replace("SELECT event_id, session_id FROM", "SELECT event_id, session_id AS product_id FROM"))
 def alert_cooldown(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
-    """An alert fires again only six hours after it last fired."""
-    rows = clicks(spark, sf_dir).where("event_type = 'purchase'").withColumn("session_id", F.col("product_id") % 5).withColumn("event_type", F.lit("alert"))
-    return accepted_events(rows, ["session_id", "event_type"], hours * 3600).select("event_id", "session_id")
+    """A product's alert fires again only six hours after it last fired."""
+    rows = clicks(spark, sf_dir).where("event_type = 'purchase'")
+    return accepted_events(rows, ["product_id"], hours * 3600).select("event_id", "product_id")

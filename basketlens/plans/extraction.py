@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.bindings import sql, table
+from basketlens.bindings import products, sql, table
 from basketlens.functions.num import gtin13_check_digit, normalize_barcode, string_hash
+from basketlens.functions.text import decode_entities, escape_html
 from basketlens.registry import register
 from basketlens.sources.documents import FindItems, FindKeys, tree_paths, values_of_object
-from basketlens.sources.html import attribute, category_path, links, tag_texts
+from basketlens.session import shared_folder
+from basketlens.sources.html import Elements, card_offers, category_path, links
+from basketlens.sources.paged import PagedSource
 
 
 @register("page_titles", "SELECT page_id, regexp_extract(html, '<html\\s[^>]*lang=\"([^\"]*)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", attribute(html, "html", "lang").alias("lang"), F.size(F.regexp_extract_all(html, F.lit("<p[ >]"), F.lit(0))).alias("paragraphs"))
+    """The language that each page states and its number of paragraphs, from its elements."""
+    found = table(spark, sf_dir, "pages").lateralJoin(Elements(F.col("html").outer(), F.lit("html").outer())).select("page_id", F.coalesce(F.col("attrs")["lang"], F.lit("")).alias("lang"))
+    n = table(spark, sf_dir, "pages").lateralJoin(Elements(F.col("html").outer(), F.lit("p").outer())).groupBy("page_id").agg(F.count("*").cast("int").alias("paragraphs"))
+    rows = table(spark, sf_dir, "pages").select("page_id").join(found, "page_id", "left").join(n, "page_id", "left")
+    return rows.select("page_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"))
 
 
 @register("page_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"[^>]*>', 1)) AS href FROM pages")
@@ -23,9 +29,38 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(links(F.col("html"))).alias("a")).select("page_id", "a.href")
 
 
-@register("page_headings", None)
+_PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+@register("page_headings", f"SELECT page_id, trim({_PLAIN.format('h')}) AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages)")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(tag_texts(F.col("html"), "h1")).alias("heading"))
+    """Whole texts of the headings that stand inside an article."""
+    return table(spark, sf_dir, "pages").lateralJoin(Elements(F.col("html").outer(), F.lit("article h1").outer())).select("page_id", F.col("text").alias("heading"))
+
+
+#: A page's first link as an offer's name, its length as the price; what a shop's page of each layout shows for them.
+_OFFER = """WITH o AS (SELECT page_id, page_id % 4 AS form, regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1) AS label, CAST(length(html) % 9000 + 100 AS BIGINT) AS cents FROM pages)"""
+
+
+@register("offer_cards", f"""{_OFFER} SELECT page_id, 'p' || page_id AS sku, {_PLAIN.format("label")} AS name, cents / 100.0::DOUBLE AS price,
+    CASE form WHEN 0 THEN CASE WHEN cents % 2 = 0 THEN (cents + 150) / 100.0::DOUBLE END WHEN 1 THEN floor(cents / 100.0::DOUBLE / (1 - (1 - 8.0::DOUBLE / 10)) * 100 + 0.5) / 100 WHEN 2 THEN (cents + 50) / 100.0::DOUBLE END AS original,
+    CASE WHEN form = 3 OR (form = 0 AND cents % 2 = 1) THEN 'mono' ELSE 'strikethrough' END AS kind FROM o WHERE label <> ''""")
+def offer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers read back from shop pages, of four forms in three layouts, that are built around each saved page's first link."""
+    html, form = F.col("html"), F.col("page_id") % 4
+    o = table(spark, sf_dir, "pages").select("page_id", form.alias("form"), F.regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1).alias("label"), (F.length(html) % 9000 + 100).cast("long").alias("cents"), html)
+    euro = lambda c: F.concat(F.format_string("%d", F.floor(c / 100)), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"), F.lit(" €"))
+    part = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    sku, price = F.concat(F.lit("p"), F.col("page_id").cast("string")), F.col("cents")
+    struck = F.when(price % 2 == 0, part('<span class="price-old">', euro(price + 150), "</span>")).otherwise("")
+    item = F.regexp_replace(escape_html(F.to_json(F.struct(sku.alias("id"), F.col("plain").alias("name")))), "&#39;", "'")
+    card = part('<li><div class="product-thumb wide" data-product-id="', sku, '"><h4><a href="/x">', F.col("label"), '</a></h4><b class="price-new">', euro(price), "</b>", struck, '<img data-src="//i/1.jpg"></div>')
+    packed = part('<article data-google-analytics-item-value="', item, '"><div class="selling-unit-row is-on-offer"><i class="teaser-display-price"><i class="teaser-display-price-whole">', F.floor(price / 100).cast("string"), '</i><i class="teaser-display-price-fraction">', F.lpad((price % 100).cast("string"), 2, "0"), '</i></i></div><p class="measure-label-wrapper">Αρχ. τιμή 10,00 €<p class="measure-label-wrapper">Τελ. τιμή 8,00 €</article>')
+    weighed = part('<article data-google-analytics-item-value="', item, '"><div class="selling-unit-row gap"></div><p class="measure-label-wrapper">Αρχ. τιμή κιλού ', euro(price + 50), '</p><p class="measure-label-wrapper">Τελ. τιμή κιλού ', euro(price), "</p></article>")
+    nested = part('<div class="tile"><h4 class="product__title"><a href="/y">', F.col("label"), '</a></h4><div><div class="product_prices"><em class="price">', euro(price), '</em></div><div><i data-productsku="', sku, '"></i></div></div></div>')
+    body = F.when(F.col("form") == 0, card).when(F.col("form") == 1, packed).when(F.col("form") == 2, weighed).otherwise(nested)
+    made = o.withColumn("plain", decode_entities(F.col("label"))).select("page_id", part("<ul>", body, "</ul>", F.col("html")).alias("html"), F.when(F.col("form") == 0, "cards").when(F.col("form") == 3, "ancestors").otherwise("json").alias("layout"))
+    return card_offers(made).select("page_id", "sku", "name", "price", "original", "kind")
 
 
 @register("url_categories", "SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/?', ''), '[?#].*$', ''), '/'), lambda x: x <> '')[1:2], '/') AS slug FROM pages")
@@ -90,3 +125,17 @@ def normalized_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT product_id, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS hash FROM h"""))
 def string_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), string_hash(F.col("p_name")).alias("hash"))
+
+
+@register("paged_catalog", "SELECT CAST(p_partkey // 500 + 1 AS INTEGER) AS page, p_partkey AS product_id, p_name AS product_name, p_retailprice AS price FROM part")
+def paged_catalog(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
+    """The catalog as a feed of pages of 500, written by Spark and read back through the paged source, which finds the last page itself."""
+    spark.dataSource.register(PagedSource)
+    folder = shared_folder(spark, "pages")
+    item = F.struct(F.col("product_id").alias("id"), F.col("product_name").alias("name"), F.col("retail_price").alias("price"))
+    page = (F.floor(F.col("product_id") / size) + 1).cast("int")
+    pages = products(spark, sf_dir).groupBy(page.alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("items"))).alias("value"))
+    pages.write.partitionBy("page").text(folder)
+    rows = spark.read.format("paged_json").option("path", folder).option("size", size).load().where("status = 'ok' AND NOT partial")
+    item = F.from_json("item", "id long, name string, price double")
+    return rows.select("page", item.alias("i")).select("page", F.col("i.id").alias("product_id"), F.col("i.name").alias("product_name"), "i.price")

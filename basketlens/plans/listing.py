@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.bindings import HIDDEN_CHAIN, OFFERS_NOW, live, live_offers, named_offers, offers, products, runs, sellers, sql, table, ts, visible
 from basketlens.functions.num import half_up
+from basketlens.operators.ranking import places
 from basketlens.registry import register
 
 SORTS = {
@@ -176,10 +177,10 @@ def percent_of_struck_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("null_order", sql("SELECT feed, run_id, coalesce(score, -1) AS score, row_number() OVER (PARTITION BY feed ORDER BY score DESC NULLS FIRST, run_id) AS rn FROM (SELECT feed, run_id, CASE WHEN healthy THEN scraped END AS score FROM runs)"))
 def null_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descending order with nulls first, as the review queue has it."""
-    rows = runs(spark, sf_dir).select("feed", "run_id", F.when(F.col("healthy"), F.col("scraped")).alias("score"))
-    rn = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc_nulls_first("score"), F.asc("run_id")))
-    return rows.select("feed", "run_id", F.coalesce("score", F.lit(-1)).alias("score"), rn.alias("rn"))
+    """Descending order with nulls first, as the review queue has it; a feed's rows are numbered by score, not in one task."""
+    score = F.when(F.col("healthy"), F.col("scraped"))
+    rows = runs(spark, sf_dir).select("feed", "run_id", F.coalesce(score, F.lit(-1)).alias("score"), F.coalesce(score.cast("double"), F.lit(float("inf"))).alias("level"))
+    return places(rows, ["feed"], "level", [F.asc("run_id")], "rn").select("feed", "run_id", "score", "rn")
 
 
 @register("rounded_prices", sql("SELECT offer_id, floor(price * 10 + 0.5) / 10 AS price_1, floor(-price + 0.5) AS negative FROM offers"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketlens.bindings import OFFERS_NOW, live_offers, observations, sql, ts
+from basketlens.bindings import OFFERS_NOW, live_offers, observations, offers, sql, ts
 from basketlens.functions.dates import micros
 from basketlens.functions.num import is_price
+from basketlens.operators.asof import as_of, neighbour
 from basketlens.operators.ranking import best_per_key, cap_per_group, collapse_keep_position, interleave, ranked
 from basketlens.registry import register
 
@@ -53,8 +54,7 @@ def collapse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT product_id, chain, recorded_at, run_id, line, price, before FROM s WHERE price IS DISTINCT FROM before"""))
 def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations that differ from the one before of their product and chain, as a change feed stores them."""
-    w = Window.partitionBy("product_id", "chain").orderBy("recorded_at", "run_id", "line", "price")
-    rows = observations(spark, sf_dir).withColumn("before", F.lag("price").over(w))
+    rows = neighbour(observations(spark, sf_dir), ["product_id", "chain"], F.date_trunc("month", "recorded_at"), ["recorded_at", "run_id", "line", "price"], "price", "before")
     return rows.where(~F.col("price").eqNullSafe(F.col("before"))).select("product_id", "chain", "recorded_at", "run_id", "line", "price", "before")
 
 
@@ -104,8 +104,17 @@ def price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steps(rows: DataFrame) -> DataFrame:
-    until = F.lead("recorded_at").over(Window.partitionBy("product_id").orderBy("recorded_at", "run_id", "line", "price"))
-    return rows.select("product_id", "recorded_at", "price", until.alias("until"))
+    order = ["recorded_at", "run_id", "line", "price"]
+    return neighbour(rows, ["product_id"], F.date_trunc("month", "recorded_at"), order, "recorded_at", "until", forward=True).select("product_id", "recorded_at", "price", "until")
+
+
+@register("price_as_of_offer", sql("""WITH b AS (SELECT product_id, chain, recorded_at, arg_max(price, ROW(run_id, line, price)) AS price FROM observations GROUP BY ALL)
+    SELECT o.offer_id, o.price, b.price AS price_as_of FROM offers o ASOF LEFT JOIN b ON o.product_id = b.product_id AND o.chain = b.chain AND o.created_at > b.recorded_at"""))
+def price_as_of_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each offer with the last price that its product was seen at in its chain before it."""
+    seen = observations(spark, sf_dir).select("product_id", "chain", F.col("recorded_at").alias("created_at"), "price", "run_id", "line")
+    rows = offers(spark, sf_dir).select("offer_id", "product_id", "chain", "created_at", "price")
+    return as_of(rows, seen, ["product_id", "chain"], "created_at", "price", ties=["run_id", "line", "price"]).select("offer_id", "price", "price_as_of")
 
 
 @register("aisle_preview", sql("SELECT category, offer_id, rn AS place, n - least(n, 6) AS remaining FROM (SELECT category, offer_id, row_number() OVER (PARTITION BY category ORDER BY pct DESC, price, offer_id) AS rn, count(*) OVER (PARTITION BY category) AS n FROM live_offers) WHERE rn <= 6"))

@@ -223,8 +223,8 @@ def _basket(rows: DataFrame, *keys: str) -> DataFrame:
     SELECT feed, scraped FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY finished_at DESC, run_id DESC) AS rn FROM p WHERE scraped >= CASE WHEN peak > 20 THEN peak * 0.5 ELSE 1 END) WHERE rn = 1"""))
 def representative_run_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest run of each feed that scraped at least half of the feed's peak."""
-    peak = F.max("scraped").over(Window.partitionBy("feed"))
-    rows = runs(spark, sf_dir).withColumn("peak", peak).where(F.col("scraped") >= F.when(F.col("peak") > 20, F.col("peak") * 0.5).otherwise(1.0))
+    peak = runs(spark, sf_dir).groupBy("feed").agg(F.max("scraped").alias("peak"))
+    rows = runs(spark, sf_dir).join(peak, "feed").where(F.col("scraped") >= F.when(F.col("peak") > 20, F.col("peak") * 0.5).otherwise(1.0))
     return rows.groupBy("feed").agg(F.max_by("scraped", F.struct("finished_at", "run_id")).alias("scraped"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,11 @@ def get_session(app: str = "basketlens", cpus: int | None = None, **conf: str) -
         "spark.driver.host": "127.0.0.1",
     }
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=defaults | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder where all executors can write and read; one of this machine only for a local master that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='shared-')}/{tag}-{uuid.uuid4().hex}"

@@ -48,15 +48,17 @@ def test_waterfall_and_limits(spark):
 def test_sitemaps_and_saved_pages(spark, tmp_path):
     import gzip
 
-    from basketlens.sources.html import links, tag_texts
+    from basketlens.sources.html import Elements, links
     from basketlens.sources.sitemap import saved_pages, sitemap_ids
 
     with gzip.open(tmp_path / "s.xml.gz", "wt") as f:
         f.write("<urlset><url><loc>https://x/c/milk/s123</loc></url><url><loc>https://x/c/b/9</loc></url><url><loc>https://x/p/7</loc></url></urlset>")
     assert sorted(r.id for r in sitemap_ids(spark, str(tmp_path / "s.xml.gz")).collect()) == ["123", "9"]
     (tmp_path / "p.html").write_text('<h1>A <b>b</b> &amp; c</h1><a class="x" href="/m">M</a>')
-    (r,) = saved_pages(spark, str(tmp_path / "p.html")).select(tag_texts(F.col("html"), "h1").alias("t"), links(F.col("html")).alias("a")).collect()
-    assert r.t == ["A  b  & c"] and [tuple(a) for a in r.a] == [("/m", "M")]
+    pages = saved_pages(spark, str(tmp_path / "p.html"))
+    (r,) = pages.select(links(F.col("html")).alias("a")).collect()
+    (t,) = pages.lateralJoin(Elements(F.col("html").outer(), F.lit("h1").outer())).collect()
+    assert t.text == "A b & c" and [tuple(a) for a in r.a] == [("/m", "M")]
 
 
 def test_validation(spark):
