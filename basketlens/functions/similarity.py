@@ -75,3 +75,9 @@ def variant_conflict(a: Column, b: Column) -> Column:
 
 def comparable(a: Column, b: Column) -> Column:
     return ~variant_conflict(a, b) & ~quantity_conflict(a, b) & (name_similarity(a, b) >= FLOOR)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Share of the distinct words of a (of three letters or more) that b has; 0 without words."""
+    words = lambda s: F.array_distinct(F.filter(word_tokens(s), lambda t: F.length(t) >= 3))
+    return F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(0.0)

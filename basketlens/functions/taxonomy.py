@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.text import contains_any, fold
@@ -93,6 +93,14 @@ def classify(chain: Column, name: Column, native: Column, rules: Rules = DEFAULT
     return F.coalesce(*steps, out(F.lit(rules.other), "none"))
 
 
+def leaks(traced: DataFrame, name: str) -> DataFrame:
+    """Rows of a classifier's trace (via, term) that a Latin keyword decided by the name though it only stands inside other words there."""
+    text, term = fold(F.col(name)), F.trim("term")
+    quoted = F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    whole = F.regexp_like(text, F.concat(F.lit("(^|[^a-z0-9])"), quoted, F.lit("([^a-z0-9]|$)")))
+    return traced.where((F.col("via") == "name") & term.rlike("^[a-z0-9 ]+$") & text.contains(term) & ~whole)
+
+
 # Patterns of drinks and breakfast goods over folded names; a Latin word that must end is followed by no ASCII word character.
 _END = r"(?!\w)"
 _WATER = "νερο|water|εμφιαλωμεν|μεταλλικο|επιτραπεζιο"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, observations, offers, products, sql, ts
 from basketlens.functions.num import half_up, is_price
 from basketlens.functions.scores import hot_score, percent_above, verdict
+from basketlens.functions.similarity import overlap
 from basketlens.functions.text import brand_token, tokens
 from basketlens.operators.compare import cheaper_alternatives, comparable_pairs, overlaps_of, top_overlaps, waterfall
 from basketlens.registry import register
@@ -67,15 +68,25 @@ def own_chain_shelf_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_per_key(rows, ["offer_id"], order).select("offer_id", "shelf_chain", "shelf_price")
 
 
-@register("hot_scores", sql(f"""WITH c AS (SELECT product_id, count(*) FILTER (WHERE event_type = 'click') AS n_clicks, count(*) FILTER (WHERE event_type = 'purchase') AS n_adds FROM clicks WHERE ts >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 14 DAY GROUP BY product_id),
-    h AS (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(regexp_extract_all(offer_id, '.'), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS u FROM live_offers LEFT JOIN c USING (product_id))
-    SELECT offer_id, floor((pct * 0.2 + (log2(1 + coalesce(n_clicks, 0)) * 7 + log2(1 + coalesce(n_adds, 0)) * 10) + greatest(0, 2 - greatest(0, (epoch_us(TIMESTAMP '{OFFERS_NOW}') - epoch_us(created_at)) / 86400000000) * 0.2) + (abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 120) / 100) * 100 + 0.5) / 100 AS hot FROM h"""))
+#: What a shop's name and description add to a catalog name, and the points that each is worth.
+SHOP_NAMES, SHOP_NAME_POINTS = ("", " γάλα", " NESCAFE", " τυρί φέτα", " σαμπουάν", " coca cola"), (0, 10, 14, 6, 3, 14)
+SHOP_TEXTS, SHOP_TEXT_POINTS = ("", "1+1 δώρο", "SUPER προσφορά", "3 για 2", "νέο"), (0, 14, 7, 8, 0)
+
+
+@register("hot_scores", sql(f"""WITH c AS (SELECT product_id, count(*) FILTER (WHERE event_type = 'click') AS n_clicks, count(*) FILTER (WHERE event_type = 'purchase') AS n_adds FROM clicks WHERE ts >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 14 DAY GROUP BY product_id), {_STATS},
+    h AS (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(regexp_extract_all(offer_id, '.'), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS u,
+        {list(SHOP_NAME_POINTS)}[product_id % 6 + 1] + {list(SHOP_TEXT_POINTS)}[qty % 5 + 1] AS words, CASE {_VERDICT} WHEN 'lowest' THEN 8 WHEN 'good' THEN 4 WHEN 'meh' THEN -2 WHEN 'high' THEN -6 ELSE 0 END AS judged
+        FROM live_offers LEFT JOIN c USING (product_id) LEFT JOIN stats USING (product_id))
+    SELECT offer_id, floor((words + pct * 0.2::DOUBLE + (log2(1 + coalesce(n_clicks, 0)) * 7 + log2(1 + coalesce(n_adds, 0)) * 10) + judged + greatest(0, 2 - greatest(0, (epoch_us(TIMESTAMP '{OFFERS_NOW}') - epoch_us(created_at)) / 86400000000) * 0.2::DOUBLE) + (abs(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 120) / 100) * 100 + 0.5) / 100 AS hot FROM h"""))
 def hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merchandising score from discount, trailing two weeks of clicks and list adds, recency and a stable jitter."""
+    """Merchandising score from goods, brands and mechanics of the shop's name and text, discount, trailing two weeks of
+    clicks and list adds, the price's verdict, recency and a stable jitter."""
     recent = clicks(spark, sf_dir).where(F.col("ts") >= ts(EVENTS_NOW) - F.expr("INTERVAL 14 DAYS"))
     n = recent.groupBy("product_id").agg(F.count_if(F.col("event_type") == "click").alias("n_clicks"), F.count_if(F.col("event_type") == "purchase").alias("n_adds"))
-    rows = live_offers(spark, sf_dir).join(n, "product_id", "left")
-    score = hot_score(F.col("product_name"), F.lit(None).cast("string"), F.col("pct"), F.col("n_clicks"), F.col("n_adds"), F.lit(None).cast("string"), F.col("created_at"), ts(OFFERS_NOW), F.col("offer_id"))
+    rows = judged_offers(spark, sf_dir).join(n, "product_id", "left")
+    added = lambda texts, of: F.element_at(F.array(*map(F.lit, texts)), (of % len(texts) + 1).cast("int"))
+    name, text = F.concat("product_name", added(SHOP_NAMES, F.col("product_id"))), added(SHOP_TEXTS, F.col("qty"))
+    score = hot_score(name, text, F.col("pct"), F.col("n_clicks"), F.col("n_adds"), F.col("verdict"), F.col("created_at"), ts(OFFERS_NOW), F.col("offer_id"))
     return rows.select("offer_id", score.alias("hot"))
 
 
@@ -144,13 +155,20 @@ def match_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waterfall(rows, [("sku", by_sku, "code"), ("barcode", by_code, "code"), ("name", by_name, "product_name")]).select("offer_id", "product_id", "via")
 
 
-@register("mapping_bands", sql("""WITH latest AS (SELECT product_id, arg_max(branch, ROW(created_at, offer_id)) AS newest FROM offers GROUP BY product_id), s AS (SELECT l.product_id, newest, CAST(len(newest) AS DOUBLE) / 12 AS score FROM latest l)
-    SELECT CASE WHEN score < 0.7 THEN 'BAD' WHEN score < 0.75 THEN 'SUSPECT' ELSE 'OK' END AS band, count(*) AS n FROM s GROUP BY band"""))
-def mapping_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest name of each key, joined and graded in bands."""
-    latest = offers(spark, sf_dir).groupBy("product_id").agg(F.max_by("branch", F.struct("created_at", "offer_id")).alias("newest"))
-    score = F.length("newest") / 12
-    return latest.groupBy(F.when(score < 0.7, "BAD").when(score < 0.75, "SUSPECT").otherwise("OK").alias("band")).agg(F.count("*").alias("n"))
+@register("mapping_bands", sql("""WITH latest AS (SELECT product_id, product_name, arg_max(qty % 5, ROW(created_at, offer_id)) AS form FROM named_offers GROUP BY ALL)
+    SELECT CASE WHEN form IN (1, 4) THEN 'BAD' WHEN form = 2 THEN 'SUSPECT' ELSE 'OK' END AS band, count(*) AS n FROM latest GROUP BY band"""))
+def mapping_bands(spark: SparkSession, sf_dir: str, hard: float = 0.34, suspect: float = 0.5) -> DataFrame:
+    """The newest raw name that each product was offered under, graded by how many of its words the product's name has.
+
+    A raw name is the product's name, with five or three words more, its first word and another, or other words, as the quantity says.
+    """
+    name = F.col("product_name")
+    forms = (name, F.concat(name, F.lit(" from our own fine bakery")), F.concat(name, F.lit(" two for one")), F.concat(F.split_part(name, F.lit(" "), F.lit(1)), F.lit(" other")), F.lit("something else"))
+    raw = F.element_at(F.array(*forms), (F.col("qty") % 5 + 1).cast("int"))
+    rows = offers(spark, sf_dir).join(products(spark, sf_dir), "product_id")
+    latest = rows.groupBy("product_id", "product_name").agg(F.max_by(raw, F.struct("created_at", "offer_id")).alias("raw"))
+    score = overlap(F.col("raw"), F.col("product_name"))
+    return latest.groupBy(F.when(score < hard, "BAD").when(score < suspect, "SUSPECT").otherwise("OK").alias("band")).agg(F.count("*").alias("n"))
 
 
 @register("brand_tokens", sql("SELECT product_id, CASE WHEN length(regexp_replace(split_part(product_name, ' ', 1), '[^a-z0-9]', '', 'g')) >= 3 THEN split_part(product_name, ' ', 1) END AS token FROM products"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, named_offers, observations, offers, products, runs, sql, table, ts
 from basketlens.functions.num import share_of
+from basketlens.functions.taxonomy import Rules, classify, leaks
 from basketlens.registry import register
 
 
@@ -162,9 +163,18 @@ def qa_first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_offers(spark, sf_dir).groupBy(F.split_part("product_name", F.lit(" "), F.lit(1)).alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("pct") > 5).alias("cheap"))
 
 
-@register("qa_category_leaks", sql("SELECT category, count(*) AS n FROM products WHERE regexp_matches(product_name, 'bolt|gear') AND category NOT IN ('PROMO', 'SMALL') GROUP BY category"))
+#: Keywords of two words hit inside other words, too; the audit finds where they do.
+LEAKY = Rules(keywords=(("hot goods", ("hot gear", "hot bolt")), ("cold goods", ("old widget", "old ring")), ("goods", ("gear", "plate"))), aliases={}, chains={}, departments=(), overrides=(), other="unsorted")
+
+
+@register("qa_category_leaks", sql("""WITH n AS (SELECT CASE size % 3 WHEN 1 THEN 's' || product_name WHEN 2 THEN product_name || 's' ELSE product_name END AS n FROM products),
+    t AS (SELECT n, CASE WHEN contains(n, 'hot gear') THEN 'hot gear' WHEN contains(n, 'hot bolt') THEN 'hot bolt' WHEN contains(n, 'old widget') THEN 'old widget' WHEN contains(n, 'old ring') THEN 'old ring' END AS term FROM n)
+    SELECT term, CASE WHEN term LIKE 'hot%' THEN 'hot goods' ELSE 'cold goods' END AS dept, count(*) AS n, min(n) AS sample FROM t WHERE term IS NOT NULL AND NOT regexp_matches(n, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY ALL"""))
 def qa_category_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).where(F.col("product_name").rlike("bolt|gear") & ~F.col("category").isin("PROMO", "SMALL")).groupBy("category").agg(F.count("*").alias("n"))
+    """Keywords that decided a department though they stand inside other words only, by the classifier's own trace."""
+    named = products(spark, sf_dir).select(F.when(F.col("size") % 3 == 1, F.concat(F.lit("s"), "product_name")).when(F.col("size") % 3 == 2, F.concat("product_name", F.lit("s"))).otherwise(F.col("product_name")).alias("name"), "brand")
+    traced = named.select("name", F.inline(F.array(classify(F.col("brand"), F.col("name"), F.lit(None).cast("string"), LEAKY))))
+    return leaks(traced, "name").groupBy("term", "dept").agg(F.count("*").alias("n"), F.min("name").alias("sample"))
 
 
 @register("qa_collisions", sql("SELECT k AS rows_per_key, count(*) AS n_keys FROM (SELECT l_orderkey, l_linenumber, count(*) AS k FROM lineitem GROUP BY ALL) GROUP BY k"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.bindings import live_offers, products, sql, table
-from basketlens.functions.scores import alert_matches, relevance, search_terms
+from basketlens.functions.scores import relevance, search_terms
 from basketlens.functions.text import ACCENTED, PLAIN, contains_any, escape_html, fold, fold_term, mirror_path, tokens, word_tokens
+from basketlens.operators.alerts import alert_offers
 from basketlens.operators.compare import top_overlaps
 from basketlens.registry import register
 
@@ -34,7 +35,12 @@ def search_offers(spark: SparkSession, sf_dir: str, query: str = "bolt", limit:
     return live_offers(spark, sf_dir).select("offer_id", score.alias("score")).where(F.col("score") > 0).orderBy(F.desc("score"), F.asc("offer_id")).limit(limit)
 
 
-@register("search_documents", None)
+_WORD = "[^a-z0-9α-ωϊϋΐΰς]"
+
+
+@register("search_documents", f"""WITH d AS (SELECT doc_id, lang, replace(regexp_replace({_FOLD % 'text'}, '[\u0300-\u036f]', '', 'g'), 'ς', 'σ') AS n FROM documents), t AS (SELECT unnest(['reaux', 'ρεαυξ', 'ρεαυχ']) AS t),
+    s AS (SELECT doc_id, max(CASE WHEN regexp_matches(n, '(^|{_WORD})' || t || '({_WORD}|$)') THEN 100 WHEN regexp_matches(n, '(^|{_WORD})' || t) THEN 70 WHEN contains(n, t) THEN 35 WHEN contains(lower(lang), t) THEN 10 ELSE 0 END) AS best FROM d, t GROUP BY doc_id)
+    SELECT doc_id, CAST(best AS DOUBLE) AS score FROM s WHERE best > 0""")
 def search_documents(spark: SparkSession, sf_dir: str, query: str = "réaux") -> DataFrame:
     score = relevance(search_terms(query), F.col("text"), F.lit(None).cast("string"), F.col("lang"), F.lit(None).cast("double"))
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score")).where(F.col("score") > 0)
@@ -55,18 +61,27 @@ _ALERTS = [("a1", "Bolt", ["ASIA", "EUROPE"], "", "30000.00"), ("a2", "gear", []
 @register("alert_hits", sql("""WITH a AS (SELECT * FROM (VALUES ('a1', 'bolt', ['ASIA', 'EUROPE'], '', 30000.00), ('a2', 'gear', [], 'PROMO', NULL), ('a3', 'widget', ['AFRICA'], NULL, 100.00), ('a4', 'zzz', [], NULL, NULL)) v(alert, word, chains, cat, top))
     SELECT alert, count(*) AS hits, min(offer_id) AS sample FROM a JOIN live_offers o ON contains(lower(trim(product_name)), word) AND (len(chains) = 0 OR list_contains(chains, chain)) AND (coalesce(cat, '') = '' OR cat = category) AND (top IS NULL OR price <= top) GROUP BY alert"""))
 def alert_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standing alerts over the offers. The predicate has no key, so the bounded list of alerts goes to every task."""
+    """Standing alerts over the offers."""
     alerts = spark.createDataFrame(_ALERTS, "alert string, word string, chains array<string>, cat string, top string").withColumn("top", F.col("top").cast("decimal(10,2)"))
-    match = alert_matches(F.col("word"), F.col("chains"), F.col("cat"), F.col("top"), F.col("product_name"), F.col("chain"), F.col("category"), F.col("price"))
-    return live_offers(spark, sf_dir).join(F.broadcast(alerts), match).groupBy("alert").agg(F.count("*").alias("hits"), F.min("offer_id").alias("sample"))
+    return alert_offers(live_offers(spark, sf_dir), alerts).groupBy("alert").agg(F.count("*").alias("hits"), F.min("offer_id").alias("sample"))
+
+
+#: Every product's first word and last letters, in its category, as somebody's alert.
+_EVERY = "SELECT product_id AS alert, substr(product_name, 1, 4) AS word, category AS cat, retail_price AS top FROM products"
+
+
+@register("every_product_watched", sql(f"SELECT a.alert, count(*) AS hits FROM ({_EVERY}) a JOIN live_offers o ON contains(product_name, trim(word)) AND o.category = a.cat AND o.price <= a.top * 20 GROUP BY a.alert"))
+def every_product_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many alerts as there are products: how many offers each has found."""
+    alerts = products(spark, sf_dir).select(F.col("product_id").alias("alert"), F.substring("product_name", 1, 4).alias("word"), F.array().cast("array<string>").alias("chains"), F.col("category").alias("cat"), (F.col("retail_price") * 20).alias("top"))
+    return alert_offers(live_offers(spark, sf_dir), alerts).groupBy("alert").agg(F.count("*").alias("hits"))
 
 
 @register("first_alert_hit", sql("""WITH a AS (SELECT * FROM (VALUES ('a1', 'bolt'), ('a2', 'gear')) v(alert, word))
     SELECT alert, offer_id FROM a JOIN live_offers ON contains(product_name, word) QUALIFY row_number() OVER (PARTITION BY alert ORDER BY pct DESC, offer_id) = 1"""))
 def first_alert_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = spark.createDataFrame([("a1", "bolt"), ("a2", "gear")], "alert string, word string")
-    hits = live_offers(spark, sf_dir).join(F.broadcast(alerts), F.col("product_name").contains(F.col("word")))
-    best = hits.groupBy("alert").agg(F.min(F.struct((-F.col("pct")).alias("p"), "offer_id")).alias("x"))
+    alerts = spark.createDataFrame([("a1", "bolt", [], None, None), ("a2", "gear", [], None, None)], "alert string, word string, chains array<string>, cat string, top double")
+    best = alert_offers(live_offers(spark, sf_dir), alerts).groupBy("alert").agg(F.min(F.struct((-F.col("pct")).alias("p"), "offer_id")).alias("x"))
     return best.select("alert", "x.offer_id")
 
 
