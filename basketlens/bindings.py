@@ -124,6 +124,16 @@ def live_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_offers(spark, sf_dir).where(live() & visible())
 
 
+#: What a shop writes behind a product's name: nothing, a size, a pack of that size, or a variant.
+FORMS = ("", " 330ml", " 6 x 330ml", " light")
+
+
+def shop_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live offers under the names that shops give them; the quantity says which."""
+    forms = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("qty") % len(FORMS) + 1).cast("int"))
+    return live_offers(spark, sf_dir).withColumn("product_name", F.concat("product_name", forms))
+
+
 def sql(body: str) -> str:
     """A query over the roles: their definitions in front of its own WITH clause or SELECT."""
     head = ", ".join(f"{name} AS ({text})" for name, text in CTES.items())

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.num import half_up
-from basketlens.functions.packs import quantities, quantities_apart
-from basketlens.functions.similarity import FLOOR, salient_tokens, token_similarity, variant_families
+from basketlens.functions.packs import pack_count, quantities, quantities_apart
+from basketlens.functions.similarity import BAND, FLOOR, salient_tokens, token_similarity, variant_families
 from basketlens.functions.text import let
 
 
@@ -135,13 +135,60 @@ def waterfall(rows: DataFrame, steps: Sequence[tuple[str, DataFrame, str]]) -> D
     return out.select(*rows.columns, F.coalesce(*found).alias("product_id"), via.alias("via"))
 
 
-def cheaper_alternatives(sources: DataFrame, rows: DataFrame, least: float = 0.10) -> DataFrame:
-    """For each source offer the cheapest offer of its product in another chain that saves `least` or more.
+def like_for_like(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """Pairs (group, a, b, score) of a group's distinct names, each with itself and in both orders, that are the same goods:
+    equal packs and variant families (join keys), no quantities apart, and similar enough. What a name states is read once a name."""
+    of = F.col("_name")
+    stated = rows.select(F.col(name).alias("_name")).dropna().distinct()
+    stated = stated.select("_name", pack_count(of).alias("_pack"), variant_families(of).alias("_families"), quantities(of).alias("_q"), salient_tokens(of).alias("_tokens"))
+    named = rows.select(F.col(group).alias("_group"), F.col(name).alias("_name")).dropna().distinct().join(stated, "_name")
+    a, b = (named.select("_group", "_pack", "_families", F.col("_name").alias(x), F.col("_q").alias(f"_q_{x}"), F.col("_tokens").alias(f"_t_{x}")) for x in "ab")
+    pairs = a.join(b, ["_group", "_pack", "_families"]).where(~quantities_apart(F.col("_q_a"), F.col("_q_b")))
+    return pairs.select(F.col("_group").alias(group), "a", "b", token_similarity(F.col("_t_a"), F.col("_t_b")).alias("score")).where(F.col("score") >= FLOOR)
 
-    The best offer of each product and chain is made first, so each source meets one row a chain, not all offers.
+
+def cheaper_alternatives(sources: DataFrame, rows: DataFrame, least: float = 0.10, name: str = "product_name") -> DataFrame:
+    """For each source offer the cheapest offer of the same goods in another chain that saves `least` or more.
+
+    Of a chain's offers that save enough only those of the names most like the source's count (within BAND). The best offer of
+    each product, name and chain is made first, so a source meets one row a name and chain, not all offers.
+    """
+    best = rows.groupBy("product_id", F.col(name).alias("b"), F.col("chain").alias("other_chain")).agg(F.min(F.struct("price", "offer_id")).alias("o"))
+    named = rows if sources is rows else sources.select("product_id", name).union(rows.select("product_id", name))
+    near = like_for_like(named, "product_id", name)
+    hits = sources.select("offer_id", "product_id", "chain", "price", F.col(name).alias("a")).join(near, ["product_id", "a"]).join(best, ["product_id", "b"])
+    hits = hits.where((F.col("chain") != F.col("other_chain")) & (F.col("price") - F.col("o.price") >= least))
+    by_chain = hits.groupBy("offer_id", "price", "other_chain").agg(F.collect_list(F.struct("score", "o")).alias("os"))  # one row a name
+    top = F.array_max(F.transform("os", lambda x: x["score"]))
+    kept = F.array_min(F.transform(F.filter("os", lambda x: x["score"] >= F.col("top") - BAND), lambda x: x["o"]))
+    picks = by_chain.withColumn("top", top).select("offer_id", "price", "other_chain", kept.alias("o"))
+    pick = picks.groupBy("offer_id", "price").agg(F.min(F.struct("o", "other_chain")).alias("x"))
+    return pick.select("offer_id", F.col("x.o.offer_id").alias("other"), F.col("x.other_chain").alias("chain"), half_up(F.col("price") - F.col("x.o.price"), 2).alias("saving"))
+
+
+def comparison_chains(offers: DataFrame, shelf: DataFrame, name: str = "product_name", cap: int = 8) -> DataFrame:
+    """offer_id, chains: in how many other chains an offer can be compared.
+
+    By offers of the same goods (of each chain only those of the names most like its own, within BAND; the `cap` cheapest of
+    all), and by a shelf price (product_id, chain) in chains without any offer of the product. Sources of one product, name
+    and chain share one list of the cheapest `cap` + 1; whether a source is its chain's only offer of its name decides what is
+    most like it there, so that is part of the key. No offers meet offers.
     """
-    best = rows.groupBy("product_id", "chain").agg(F.min(F.struct("price", "offer_id")).alias("b"))
-    best = best.select("product_id", F.col("chain").alias("other_chain"), F.col("b.price").alias("other_price"), F.col("b.offer_id").alias("other"))
-    hits = sources.join(best, "product_id").where((F.col("chain") != F.col("other_chain")) & (F.col("price") - F.col("other_price") >= least))
-    pick = hits.groupBy("offer_id").agg(F.min(F.struct("other_price", "other", "other_chain", "price")).alias("x"))
-    return pick.select("offer_id", "x.other", F.col("x.other_chain").alias("chain"), half_up(F.col("x.price") - F.col("x.other_price"), 2).alias("saving"))
+    per = offers.groupBy("product_id", F.col(name).alias("b"), F.col("chain").alias("other")).agg(F.count("*").alias("n"))
+    near = like_for_like(offers, "product_id", name)
+    kinds = per.select("product_id", F.col("b").alias("a"), F.col("other").alias("chain"), (F.col("n") == 1).alias("lone"))
+    meets = kinds.join(near, ["product_id", "a"]).join(per.drop("n"), ["product_id", "b"])
+    meets = meets.where(~(F.col("lone") & (F.col("a") == F.col("b")) & (F.col("chain") == F.col("other"))))
+    best = F.max("score").over(Window.partitionBy("product_id", "a", "chain", "other"))
+    meets = meets.withColumn("best", best).where(F.col("score") >= F.col("best") - BAND).select("product_id", "a", "chain", "b", "other")
+    cheapest = F.row_number().over(Window.partitionBy("product_id", "b", "other").orderBy("price", "offer_id"))
+    few = offers.select("product_id", F.col(name).alias("b"), F.col("chain").alias("other"), "price", "offer_id").withColumn("rn", cheapest).where(F.col("rn") <= cap + 1).drop("rn")
+    place = F.row_number().over(Window.partitionBy("product_id", "a", "chain").orderBy("price", "offer_id"))
+    listed = meets.join(few, ["product_id", "b", "other"]).withColumn("rn", place).where(F.col("rn") <= cap + 1)
+    lists = listed.groupBy("product_id", "a", "chain").agg(F.sort_array(F.collect_list(F.struct("price", "offer_id", "other"))).alias("found"))
+    on_offer = offers.select("product_id", "chain").distinct()
+    shelves = shelf.select("product_id", "chain").distinct().join(on_offer, ["product_id", "chain"], "left_anti").groupBy("product_id").agg(F.count("*").alias("shelves"))
+    rows = offers.select("offer_id", "product_id", "chain", F.col(name).alias("a")).join(lists, ["product_id", "a", "chain"], "left").join(shelves, "product_id", "left")
+    others = F.slice(F.filter("found", lambda x: x["offer_id"] != F.col("offer_id")), 1, cap)
+    chains = F.size(F.array_remove(F.array_distinct(others["other"]), F.col("chain")))
+    return rows.select("offer_id", (F.coalesce(F.when(F.col("found").isNotNull(), chains), F.lit(0)) + F.coalesce("shelves", F.lit(0))).alias("chains"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, observations, offers, products, sql, ts
+from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, observations, offers, products, shop_offers, sql, ts
 from basketlens.functions.num import half_up, is_price
 from basketlens.functions.scores import hot_score, percent_above, verdict
 from basketlens.functions.similarity import overlap
@@ -90,11 +90,13 @@ def hot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("offer_id", score.alias("hot"))
 
 
-@register("cheaper_alternatives", sql("""WITH c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving,
-    row_number() OVER (PARTITION BY s.offer_id ORDER BY a.price, a.offer_id) AS rn FROM live_offers s JOIN live_offers a ON a.product_id = s.product_id AND a.chain <> s.chain AND s.price - a.price >= 0.1)
-    SELECT offer_id, other, chain, saving FROM c WHERE rn = 1"""))
+@register("cheaper_alternatives", sql("""WITH o AS (SELECT *, qty % 4 AS form FROM live_offers), c AS (SELECT s.offer_id, a.offer_id AS other, a.chain, a.price, floor((s.price - a.price) * 100 + 0.5) / 100 AS saving, CASE WHEN s.form = a.form THEN 1 ELSE 2 / 3 END AS score
+    FROM o s JOIN o a ON a.product_id = s.product_id AND a.chain <> s.chain AND s.price - a.price >= 0.1 AND (a.form = s.form OR (a.form < 2 AND s.form < 2))),
+    d AS (SELECT * FROM c QUALIFY score >= max(score) OVER (PARTITION BY offer_id, chain) - 0.05)
+    SELECT offer_id, other, chain, saving FROM d QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY price, other) = 1"""))
 def cheaper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live_offers(spark, sf_dir)
+    """The same goods, cheaper elsewhere: other packs and variants of a product do not count, and a plain name rather meets a plain one."""
+    rows = shop_offers(spark, sf_dir)
     return cheaper_alternatives(rows, rows)
 
 

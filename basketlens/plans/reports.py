@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.bindings import EVENTS_NOW, OFFERS_NOW, clicks, live_offers, named_offers, observations, offers, products, runs, sql, table, ts
 from basketlens.functions.num import share_of
 from basketlens.functions.taxonomy import Rules, classify, leaks
+from basketlens.operators.coverage import id_bitmaps, set_sizes
 from basketlens.registry import register
 
 
@@ -270,3 +271,24 @@ def subscriber_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
     return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.min("url").alias("sample"))
+
+
+_PCT = "CAST(least(100, floor(100 * {} / {} + 0.5)) AS INTEGER)"
+
+
+@register("catalog_coverage", sql(f"""WITH t AS (SELECT count(*) AS products, count(*) FILTER (WHERE size > 10) AS with_image, count(*) FILTER (WHERE size % 2 = 0) AS with_barcode FROM products),
+    o AS (SELECT *, active AND valid_until > TIMESTAMP '{OFFERS_NOW}' AS live, qty % 10 <> 0 AS linked, original_price IS NULL AS normal FROM offers),
+    c AS (SELECT chain, count(*) FILTER (WHERE live) AS offers, count(*) FILTER (WHERE live AND linked) AS linked_offers, count(*) FILTER (WHERE live AND NOT linked) AS unlinked_offers, count(*) FILTER (WHERE normal) AS baseline_rows, count(*) FILTER (WHERE NOT linked) AS pending,
+        count(DISTINCT product_id) AS mapped, count(DISTINCT product_id) FILTER (WHERE live AND linked) AS offered, count(DISTINCT product_id) FILTER (WHERE normal) AS baseline, count(DISTINCT product_id) FILTER (WHERE normal OR (live AND linked)) AS priced FROM o GROUP BY chain)
+    SELECT c.*, products, with_image, with_barcode, sum(offers) OVER ()::BIGINT AS all_offers, sum(linked_offers) OVER ()::BIGINT AS all_linked, sum(pending) OVER ()::BIGINT AS all_pending, sum(mapped) OVER ()::BIGINT AS all_mappings, sum(baseline_rows) OVER ()::BIGINT AS all_baseline_rows,
+        {_PCT.format('mapped', 'products')} AS mapped_pct, {_PCT.format('baseline', 'mapped')} AS baseline_pct, CASE WHEN offers > 0 THEN {_PCT.format('linked_offers', 'offers')} ELSE 0 END AS linked_pct FROM c, t"""))
+def catalog_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each chain's catalog is covered, and the totals: offers, links, mappings, shelf prices and their products, from one scan of the offers."""
+    live, linked, normal = F.col("active") & (F.col("valid_until") > ts(OFFERS_NOW)), F.col("qty") % 10 != 0, F.col("original_price").isNull()
+    counts = {"offers": live, "linked_offers": live & linked, "unlinked_offers": live & ~linked, "baseline_rows": normal, "pending": ~linked}
+    bits = id_bitmaps(offers(spark, sf_dir), ["chain"], "product_id", {"s_mapped": F.lit(True), "s_offered": live & linked, "s_baseline": normal}, counts)
+    by_chain = set_sizes(bits, ["chain"], {"mapped": "s_mapped", "offered": "s_offered", "baseline": "s_baseline", "priced": ("s_baseline", "s_offered")}, list(counts))
+    totals = by_chain.agg(*(F.sum(c).alias(t) for c, t in (("offers", "all_offers"), ("linked_offers", "all_linked"), ("pending", "all_pending"), ("mapped", "all_mappings"), ("baseline_rows", "all_baseline_rows"))))
+    catalog = products(spark, sf_dir).agg(F.count("*").alias("products"), F.count_if(F.col("size") > 10).alias("with_image"), F.count_if(F.col("size") % 2 == 0).alias("with_barcode"))
+    rows = by_chain.join(F.broadcast(totals)).join(F.broadcast(catalog))  # one row each
+    return rows.select("*", share_of(F.col("mapped"), F.col("products")).alias("mapped_pct"), share_of(F.col("baseline"), F.col("mapped")).alias("baseline_pct"), share_of(F.col("linked_offers"), F.col("offers")).alias("linked_pct"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketlens.bindings import OFFERS_NOW, clicks, live_offers, observations, products, sql, ts
+from basketlens.bindings import OFFERS_NOW, clicks, live_offers, observations, products, shop_offers, sql, ts
 from basketlens.functions.packs import pack_count
 from basketlens.functions.similarity import name_similarity, quantity_conflict, variant_conflict
 from basketlens.functions.taxonomy import Rules, classify
 from basketlens.functions.text import tokens
-from basketlens.operators.compare import top_overlaps
+from basketlens.operators.compare import comparison_chains
 from basketlens.operators.dedupe import dedupe_offers
 from basketlens.operators.ranking import best_per_key, cap_per_group, ranked
 from basketlens.operators.resolve import checked_verdicts, resolve_by_tokens
@@ -51,17 +51,19 @@ def price_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(kept, [F.asc("price"), F.asc("offer_id")], "place").select("offer_id", "chain", "price", "place")
 
 
-@register("comparison_counts", sql(f"""WITH offer_chains AS (SELECT product_id, product_name, chain, count(*) AS n FROM live_offers GROUP BY ALL),
-    shelf AS (SELECT DISTINCT product_id, chain FROM observations WHERE price > 0 AND recorded_at >= TIMESTAMP '{OFFERS_NOW}' - INTERVAL 14 DAY AND recorded_at <= TIMESTAMP '{OFFERS_NOW}' + INTERVAL 60 SECOND),
-    every AS (SELECT product_id, chain FROM offer_chains UNION SELECT product_id, chain FROM shelf), k AS (SELECT product_id, count(*) AS k FROM every GROUP BY product_id)
-    SELECT offer_id, k.k - 1 AS chains FROM live_offers JOIN k USING (product_id)"""))
+@register("comparison_counts", sql(f"""WITH o AS (SELECT *, qty % 4 AS form FROM live_offers),
+    m AS (SELECT s.offer_id, s.chain AS own, a.offer_id AS other, a.chain, a.price, CASE WHEN s.form = a.form THEN 1 ELSE 2 / 3 END AS score FROM o s JOIN o a ON a.product_id = s.product_id AND a.offer_id <> s.offer_id AND (a.form = s.form OR (a.form < 2 AND s.form < 2))),
+    k AS (SELECT * FROM m QUALIFY score >= max(score) OVER (PARTITION BY offer_id, chain) - 0.05), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY price, other) <= 8),
+    n AS (SELECT offer_id, count(DISTINCT chain) FILTER (WHERE chain <> own) AS n FROM c GROUP BY offer_id),
+    shelf AS (SELECT product_id, count(DISTINCT chain) AS n FROM observations x JOIN products USING (product_id) WHERE x.price > 0 AND size % 2 = 0 AND recorded_at >= TIMESTAMP '{OFFERS_NOW}' - INTERVAL 14 DAY AND recorded_at <= TIMESTAMP '{OFFERS_NOW}' + INTERVAL 60 SECOND
+        AND NOT EXISTS (SELECT 1 FROM live_offers l WHERE l.product_id = x.product_id AND l.chain = x.chain) GROUP BY product_id)
+    SELECT offer_id, CAST(coalesce(n.n, 0) + coalesce(shelf.n, 0) AS BIGINT) AS chains FROM live_offers LEFT JOIN n USING (offer_id) LEFT JOIN shelf USING (product_id)"""))
 def comparison_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many other chains each offer can be compared: by an offer of its product or a fresh shelf price there."""
+    """In how many other chains each offer can be compared: by offers of the same goods or, of products with a barcode, by a fresh shelf price where there is no offer."""
     at, now = F.col("recorded_at"), ts(OFFERS_NOW)
-    shelf = observations(spark, sf_dir).where((F.col("price") > 0) & (at >= now - F.expr("INTERVAL 14 DAYS")) & (at <= now + F.expr("INTERVAL 60 SECONDS"))).select("product_id", "chain")
-    rows = live_offers(spark, sf_dir)
-    k = rows.select("product_id", "chain").union(shelf).groupBy("product_id").agg(F.countDistinct("chain").alias("k"))
-    return rows.join(k, "product_id").select("offer_id", (F.col("k") - 1).alias("chains"))
+    fresh = observations(spark, sf_dir).where((F.col("price") > 0) & (at >= now - F.expr("INTERVAL 14 DAYS")) & (at <= now + F.expr("INTERVAL 60 SECONDS")))
+    shelf = fresh.join(products(spark, sf_dir).where("size % 2 = 0").select("product_id"), "product_id", "left_semi").select("product_id", "chain")
+    return comparison_chains(shop_offers(spark, sf_dir), shelf).select("offer_id", F.col("chains").cast("long").alias("chains"))
 
 
 @register("similar_offers", sql("""WITH s AS (SELECT * FROM live_offers ORDER BY pct DESC, price, offer_id LIMIT 1), c AS (SELECT o.offer_id, o.product_name, o.pct, s.product_name AS src FROM live_offers o, s WHERE o.category = s.category AND o.product_id IS DISTINCT FROM s.product_id ORDER BY o.pct DESC, o.price, o.offer_id LIMIT 120)
