@@ -138,4 +138,6 @@ def sql(body: str) -> str:
     """A query over the roles: their definitions in front of its own WITH clause or SELECT."""
     head = ", ".join(f"{name} AS ({text})" for name, text in CTES.items())
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:].strip()}"
     return f"WITH {head}, {body[5:].strip()}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.bindings import EVENTS_NOW, clicks, products, sql, ts
 from basketlens.functions.dates import micros
 from basketlens.functions.num import decay, half_up
+from basketlens.functions.text import brand_token
 from basketlens.operators.events import accepted_events, windowed_limit
+from basketlens.operators.profiles import profiles
 from basketlens.registry import register
 
 _ACCEPT_SQL = """WITH RECURSIVE e AS (SELECT event_id, session_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id, event_type ORDER BY ts, event_id) AS rn FROM events_),
@@ -46,14 +50,31 @@ def trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHT = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
 
 
-@register("interest_profiles", sql(f"SELECT session_id, category, floor(sum({_WEIGHT} * pow(0.5, (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(ts)) / 86400000000 / 14)) * 1000 + 0.5) / 1000 AS weight FROM clicks JOIN products USING (product_id) WHERE {_WEIGHT} > 0 GROUP BY session_id, category HAVING sum({_WEIGHT} * pow(0.5, (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(ts)) / 86400000000 / 14)) >= 0.05"))
+_PARTS = f"CAST(floor({_WEIGHT} * pow(0.5, (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(ts)) / 86400000000 / 14) * 1000000000 + 0.5) AS BIGINT)"
+
+
+@register("interest_profiles", sql(f"SELECT session_id, category, floor(sum({_PARTS}) / 1000000000 * 1000 + 0.5) / 1000 AS weight FROM clicks JOIN products USING (product_id) WHERE {_WEIGHT} > 0 GROUP BY session_id, category HAVING sum({_PARTS}) >= 50000000"))
 def interest_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interest of a session in a category: event weights that halve in 14 days, in closed form."""
+    """Interest of a session in a category: event weights that halve in 14 days, in closed form; summed in whole billionths, so in any order."""
     w = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 3).when(F.col("event_type") == "purchase", 4).otherwise(0)
     days = (micros(ts(EVENTS_NOW)) - micros(F.col("ts"))) / 86_400_000_000
     rows = clicks(spark, sf_dir).withColumn("w", w).where("w > 0").join(products(spark, sf_dir), "product_id")
-    sums = rows.groupBy("session_id", "category").agg(F.sum(F.col("w") * decay(days)).alias("s")).where(F.col("s") >= 0.05)
-    return sums.select("session_id", "category", half_up(F.col("s"), 3).alias("weight"))
+    sums = rows.groupBy("session_id", "category").agg(F.sum(F.floor(F.col("w") * decay(days) * 1_000_000_000 + 0.5).cast("long")).alias("s")).where(F.col("s") >= 50_000_000)
+    return sums.select("session_id", "category", half_up(F.col("s") / 1_000_000_000, 3).alias("weight"))
+
+
+@register("folded_profiles", sql(f"""WITH RECURSIVE e AS (SELECT session_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, {_WEIGHT} AS w, category, split_part(product_name, ' ', 1) AS brand, row_number() OVER (PARTITION BY session_id ORDER BY floor(epoch_us(ts) / 1000), event_id) AS rn FROM clicks JOIN products USING (product_id) WHERE {_WEIGHT} > 0),
+    c AS (SELECT session_id, rn, ms AS held FROM e WHERE rn = 1 UNION ALL SELECT e.session_id, e.rn, CASE WHEN (e.ms - c.held) / 86400000::DOUBLE < 0.01::DOUBLE THEN c.held ELSE e.ms END FROM c JOIN e ON e.session_id = c.session_id AND e.rn = c.rn + 1),
+    z AS (SELECT session_id, CASE WHEN (n - max(held)) / 86400000::DOUBLE < 0.01::DOUBLE THEN max(held) ELSE greatest(n, max(held)) END AS end_ms FROM c, (SELECT epoch_us(TIMESTAMP '{EVENTS_NOW}') // 1000 AS n) GROUP BY session_id, n),
+    k AS (SELECT session_id, rn, w, unnest(['category', 'brand']) AS kind, unnest([category, brand]) AS name FROM e)
+    SELECT session_id, kind, name, floor(sum(w * pow(0.5, (end_ms - held) / 86400000::DOUBLE / 14)) * 1000 + 0.5) / 1000 AS weight FROM k JOIN c USING (session_id, rn) JOIN z USING (session_id) GROUP BY session_id, kind, name"""))
+def folded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interest of a session in categories and brands as the shop keeps it: decay since the last change, none within a hundredth
+    of a day, pruned and capped. The SQL is its closed form over the same clock; nothing here falls below the prune or over the cap."""
+    w = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 3).when(F.col("event_type") == "purchase", 4).otherwise(0)
+    rows = clicks(spark, sf_dir).join(products(spark, sf_dir), "product_id").withColumn("weight", w).withColumn("brand", brand_token(F.col("product_name")))
+    now = int(datetime.fromisoformat(EVENTS_NOW).replace(tzinfo=UTC).timestamp()) * 1_000_000
+    return profiles(rows, ["category", "brand"], now).withColumn("weight", half_up(F.col("weight"), 3))
 
 
 @register("top_categories", sql("SELECT session_id, category, n FROM (SELECT session_id, category, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, category) AS rn FROM clicks JOIN products USING (product_id) GROUP BY session_id, category) WHERE rn <= 3"))
