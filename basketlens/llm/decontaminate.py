@@ -13,8 +13,11 @@ Method
     no pattern by m, which skips most of a clean text. Where the shift is 0, the block selects a bucket of patterns with
     that suffix, and each is compared with the text directly. Hits of overlapping windows are merged.
 
-The pattern tables go to the executors by broadcast in blocks of at most PATTERN_BLOCK windows; a larger benchmark is
-searched block by block over all rows and the hits of a row are merged, so the broadcast is bounded at any size.
+Pairs of a window and its item are made and counted in Spark. Up to PATTERN_BLOCK pairs are one table, sent to every task.
+More are dealt by a hash into blocks of about PATTERN_BLOCK pairs (a window of many items lies in several), and the blocks are
+searched one after the other: of each, only the texts with hits are written (their SHA-256, spans and items), its table is
+given up before the next is sent, and the last pass joins what was found to the rows by the SHA-256 of their texts. So the
+driver and each worker hold one table at a time, and the texts themselves are read once a block and never written.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.llm.shared import free_name
+from basketlens.llm.shared import free_name, sent_if_few, stored
 from basketlens.llm.text_hash import released
 
 WINDOW = 10
@@ -42,14 +47,10 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_SPLIT).split() if text else []
 
 
-def windows(items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
-    """The distinct windows of benchmark items and the ids of the items that hold each."""
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found[tuple(w[i : i + window])] |= set() if item is None else {item}
-    return {k: sorted(v) for k, v in found.items()}
+def windows(text: bytes | None, window: int = WINDOW) -> list[bytes]:
+    """The windows of one benchmark text, each as its words joined by a space."""
+    w = words(text)
+    return [b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)]
 
 
 class WuManber:
@@ -111,8 +112,8 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(spark, patterns: dict[tuple[bytes, ...], list[str]]):
-    shared = spark.sparkContext.broadcast(patterns)
+def _searcher(shared: Broadcast):
+    """The search for one table of patterns, as a column function."""
 
     @F.arrow_udf(_HITS)
     def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -136,32 +137,57 @@ def _hit_words(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), begin, add, lambda acc: acc["n"])
 
 
-def _pattern_blocks(benchmark: DataFrame, window: int) -> Iterator[dict[tuple[bytes, ...], list[str]]]:
-    """Windows in blocks of at most PATTERN_BLOCK; the items stream through the driver one partition at a time."""
-    block: dict[tuple[bytes, ...], list[str]] = {}
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    for item, text in rows.toLocalIterator():
-        own = windows([(item, bytes(text))], window)
-        if block and len(block) + len(own) > PATTERN_BLOCK:
-            yield block
-            block = {}
-        for p, ids in own.items():
-            block[p] = sorted({*block.get(p, ()), *ids})
-    yield block
+def _window_pairs(benchmark: DataFrame, window: int) -> DataFrame:
+    """The distinct pairs (item, w) of benchmark items and their windows."""
+
+    @F.arrow_udf(T.ArrayType(T.BinaryType()))
+    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in released(texts):
+            yield pa.array([windows(t.as_py(), window) for t in batch], pa.list_(pa.binary()))
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(cut(F.col("text").cast("binary"))).alias("w")).distinct()
+
+
+def _patterns(pairs: DataFrame) -> Broadcast:
+    """One block's windows with the items that hold each, on every executor."""
+    found: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
+    for item, w in pairs.collect():
+        found[tuple(bytes(w).split(b" "))] += [] if item is None else [item]
+    return pairs.sparkSession.sparkContext.broadcast(dict(found))
+
+
+def _earlier_hits(text: Column, documents: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """(key, spans, items) of the distinct texts that hold a window of any of the blocks; key is the SHA-256 of the text."""
+    found = []
+    for pairs in blocks:
+        shared = _patterns(pairs)
+        hits = documents.select(F.sha2(text, 256).alias("key"), _searcher(shared)(text).alias("hit")).where(F.size("hit.spans") > 0)
+        found.append(stored(hits.select("key", "hit.spans", "hit.items").dropDuplicates(["key"]), "hits"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> tuple[DataFrame, Column]:
     """The documents with one struct column more, and that column: n_words, n_hit, n_items, items_sha256, contaminated."""
     name = free_name(documents, "_hits")
     text = F.col(text_col).cast("binary")
-    found = [_searcher(documents.sparkSession, p)(text) for p in _pattern_blocks(benchmark, window)]
-    names = [free_name(documents, f"_block_{i}") for i in range(len(found))]
-    out = documents.select("*", *(f.alias(n) for f, n in zip(found, names, strict=True)))
-    n_hit = _hit_words(F.concat(*(F.col(n)["spans"] for n in names)))
-    items = F.array_sort(F.array_distinct(F.concat(*(F.col(n)["items"] for n in names))))
+    pairs = stored(_window_pairs(benchmark, window), "windows")
+    n = max(1, -(-pairs.count() // PATTERN_BLOCK))
+    blocks = [pairs.where(F.pmod(F.xxhash64("w", "item"), F.lit(n)) == i) for i in range(n)] if n > 1 else [pairs]
+    out = documents.withColumn(name, _searcher(_patterns(blocks[-1]))(text))
+    hit = F.col(name)
+    spans, items = hit["spans"], hit["items"]
+    if n > 1:
+        key, other = free_name(documents, "_key"), free_name(documents, "_earlier")
+        earlier = _earlier_hits(text, documents, blocks[:-1]).select(F.col("key").alias(key), F.struct("spans", "items").alias(other))
+        out = out.withColumn(key, F.sha2(text, 256)).join(sent_if_few(earlier), key, "left")
+        both = lambda a, part: F.concat(a, F.coalesce(F.col(other)[part], F.slice(a, 1, 0)))
+        spans, items = both(spans, "spans"), both(items, "items")
+    n_hit, items = _hit_words(spans), F.array_sort(F.array_distinct(items))
     digest = F.sha2(F.array_join(items, ","), 256)
-    out = out.withColumn(name, F.struct(F.col(names[0])["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated")))
-    return out.drop(*names), F.col(name)
+    result = F.struct(hit["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(*(F.col(f"`{c}`") for c in documents.columns), result.alias(name)), F.col(name)
 
 
 def sql_word_pattern() -> str:

@@ -59,10 +59,33 @@ def test_blocks_of_patterns_agree(spark, monkeypatch):
     assert run(spark, docs[:30], items) == brute(docs[:30], items)
 
 
+def test_twenty_blocks_are_searched_one_at_a_time(spark, monkeypatch):
+    """Every plan holds the search of one table, and the workers' tables are bounded; copies and null texts included."""
+    docs, items = cases()
+    docs = docs[:20] + [(200 + i, docs[0][1]) for i in range(50)] + [(300, None), (301, items[0][1])]
+    pairs = sum(len(set(d.windows(t.encode()))) for _, t in items if t)
+    monkeypatch.setattr(d, "PATTERN_BLOCK", pairs // 20)
+    sizes, sent = [], d._patterns
+    monkeypatch.setattr(d, "_patterns", lambda p: sizes.append(p.count()) or sent(p))
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, _key int")
+    found, hits = d.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert len(sizes) >= 20 and sum(sizes) == pairs
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+    assert {r[0]: tuple(r[1]) for r in found.select("doc_id", hits).collect()} == brute(docs, items)
+
+
+def test_a_window_of_many_items_lies_in_several_blocks(spark, monkeypatch):
+    items = [(i, "one two three") for i in range(200)]
+    monkeypatch.setattr(d, "PATTERN_BLOCK", 30)
+    docs = [(1, "x one two three one two"), (2, "one two")]
+    assert run(spark, docs, items) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     # an item without an id: its words are hit, no item is named
     assert run(spark, [(1, "a b c")], [(None, "a b")])[1][:3] == (3, 2, 0)
     assert run(spark, [], [(1, "a b")]) == {}
+    assert run(spark, [(1, "a b c"), (2, None)], []) == brute([(1, "a b c"), (2, None)], [])
 
 
 def test_query_on_whole_table(spark, tiny):
