@@ -4,7 +4,8 @@ Semantics (`format_chats`)
     Rows of one conv_id are a conversation, ordered by turn, then role, then text; a null text or role is empty; repeated
     rows are turns of their own; a null conv_id is a conversation like any other. An empty table gives an empty result.
     Other columns are not read. The state machine starts at `start` and follows TRANSITIONS; `valid` says whether every
-    turn was allowed and the last state is final. Conversations out of order are formatted as well, with valid false.
+    turn was allowed and the last state is final, `first_bad` is the number (from 0) of the first turn that was not
+    allowed, null where all were. Conversations out of order are formatted as well, with valid false.
 
 Template
     TEMPLATE gives each role its opening and closing mark and a loss flag; a role that it does not name is written between
@@ -67,33 +68,43 @@ def _pieces(role: Column, text: Column) -> Column:
     return F.struct(opened.alias("opened"), escaped(text).alias("text"), closed.alias("closed"), _by_role(role, lambda m: F.lit(m.loss), F.lit(OTHER.loss)).alias("loss"))
 
 
-def _final_state(turns: Column) -> Column:
-    """The state after all turns; null once a transition is not allowed."""
+def _walk(turns: Column) -> Column:
+    """struct(state after the last allowed turn, number of turns allowed, whether the machine still runs): the state
+    machine over a conversation's turns, which stops at the first turn that TRANSITIONS does not allow."""
+    begin = F.struct(F.lit("start").alias("state"), F.lit(0).alias("allowed"), F.lit(True).alias("runs"))
 
-    def step(state: Column, turn: Column) -> Column:
+    def step(at: Column, turn: Column) -> Column:
         to = F.lit(None).cast("string")
-        for (at, role), then in TRANSITIONS.items():
-            to = F.when((state == at) & (turn["role"] == role), F.lit(then)).otherwise(to)
-        return to
+        for (state, role), then in TRANSITIONS.items():
+            to = F.when((at["state"] == state) & (turn["role"] == role), F.lit(then)).otherwise(to)
+        go = at["runs"] & to.isNotNull()
+        return F.struct(F.when(go, to).otherwise(at["state"]).alias("state"), (at["allowed"] + go.cast("int")).alias("allowed"), go.alias("runs"))
 
-    return F.aggregate(turns, F.lit("start"), step)
+    return F.aggregate(turns, begin, step)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, valid, segments (text, loss), formatted, loss_spans (start, length: code points of formatted).
+    """conv_id, valid, first_bad, segments (text, loss, start), formatted, loss_spans (start, length).
 
-    Where a turn begins is a running sum over its conversation's rows, so the work grows with the turns, not with their square.
+    Starts and lengths are code points of `formatted`, which is the segments' texts in order; the loss spans are the
+    segments with the loss flag. Where a turn begins is a running sum over its conversation's rows, so the work grows with
+    the turns, not with their square.
     """
     rows = conversations.select("conv_id", "turn", "role", "text", _pieces(F.col("role"), F.col("text")).alias("p"))
     size = F.length("p.opened") + F.length("p.text") + F.length("p.closed")
     earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "turn", "role", "p"))).alias("turns"))
-    piece = lambda t, on: F.struct(t.alias("text"), on.alias("loss"))
-    segments = F.flatten(F.transform("turns", lambda t: F.array(piece(t["p"]["opened"], F.lit(False)), piece(t["p"]["text"], t["p"]["loss"]), piece(t["p"]["closed"], F.lit(False)))))
-    spans = F.transform(F.filter("turns", lambda t: t["p"]["loss"]), lambda t: F.struct((t["at"] + F.length(t["p"]["opened"])).alias("start"), F.length(t["p"]["text"]).alias("length")))
-    out = turns.select("conv_id", F.coalesce(_final_state(F.col("turns")).isin(*FINAL), F.lit(False)).alias("valid"), segments.alias("segments"), spans.alias("loss_spans"))
-    return out.select("conv_id", "valid", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "loss_spans")
+    piece = lambda text, loss, start: F.struct(text.alias("text"), loss.alias("loss"), start.alias("start"))
+
+    def emitted(t: Column) -> Column:
+        p, text_at = t["p"], t["at"] + F.length(t["p"]["opened"])
+        return F.array(piece(p["opened"], F.lit(False), t["at"]), piece(p["text"], p["loss"], text_at), piece(p["closed"], F.lit(False), text_at + F.length(p["text"])))
+
+    out = turns.select("conv_id", _walk(F.col("turns")).alias("walk"), F.flatten(F.transform("turns", emitted)).alias("segments"))
+    valid, first_bad = F.col("walk.runs") & F.col("walk.state").isin(*FINAL), F.when(~F.col("walk.runs"), F.col("walk.allowed").cast("long"))
+    spans = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), F.length(s["text"]).alias("length")))
+    return out.select("conv_id", valid.alias("valid"), first_bad.alias("first_bad"), "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def _read(turn: Column) -> Column:
@@ -123,13 +134,13 @@ def read_turns(chats: DataFrame) -> DataFrame:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Digests of each conversation, taken from its formatted text and mask alone."""
+    """Digests of each conversation, taken from its formatted text and mask alone, with the state machine's verdict."""
     turns = read_turns(chats).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text", "loss"))).alias("turns"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.filter(F.transform("turns", lambda t: t["loss"]), lambda x: x.isNotNull()), "")
-    sizes = chats.select(F.col("conv_id").alias("of"), F.length("formatted").cast("long").alias("formatted_chars"))
-    out = turns.join(sizes, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), loss.alias("loss"), "formatted_chars")
-    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    sizes = chats.select(F.col("conv_id").alias("of"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_bad")
+    out = turns.join(sizes, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), loss.alias("loss"), "formatted_chars", "valid", "first_bad")
+    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), "formatted_chars", "valid", "first_bad")
 
 
 def probe(conversations: DataFrame) -> DataFrame:

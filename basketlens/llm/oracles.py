@@ -38,12 +38,20 @@ WITH c AS (
         + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
           ELSE 23 + length(regexp_replace(role, '([\[<])(\\*)(/?(?:INST|SYS|TURN|TEXT)\]|/?s>)', '\1\\\2\3', 'g')) END AS n
     FROM c
+), o AS (
+    SELECT conv_id, role, row_number() OVER w AS k, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), m AS (
+    SELECT conv_id, min(k - 1) FILTER (WHERE CASE WHEN k = 1 THEN role NOT IN ('system', 'user') WHEN role = 'user' THEN before NOT IN ('system', 'assistant') ELSE role <> 'assistant' OR before <> 'user' END) AS first_bad,
+           max_by(role, k) AS last
+    FROM o GROUP BY conv_id
 ), g AS (
     SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n) AS n
     FROM t GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g
+SELECT g.conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars,
+       first_bad IS NULL AND last = 'assistant' AS valid, CAST(first_bad AS BIGINT) AS first_bad
+FROM g JOIN m ON g.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
 _ALNUM = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"

@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from basketlens.llm.chat import escaped, format_chats, probe, read_back, unescaped
+from basketlens.llm.chat import FINAL, TRANSITIONS, escaped, format_chats, probe, read_back, unescaped
 from basketlens.llm.queries import op6_chat_format
 
 HEX = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -47,8 +47,39 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark):
 def test_state_machine(spark):
     order = {1: ["system", "user", "assistant"], 2: ["user", "assistant", "user", "assistant"], 3: ["assistant"], 4: ["user"], 5: ["user", "user", "assistant"], 6: ["system", "assistant"], 7: [None]}
     rows = [(c, k, r, "t") for c, rs in order.items() for k, r in enumerate(rs)]
-    valid = {r.conv_id: r.valid for r in format_chats(table(spark, rows)).collect()}
-    assert valid == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+    got = {r.conv_id: (r.valid, r.first_bad) for r in format_chats(table(spark, rows)).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, None), 5: (False, 1), 6: (False, 1), 7: (False, 0)}
+
+
+def test_the_query_runs_the_machine(spark, tiny):
+    """The optimised plan folds the transitions, and the query's rows hold their verdict, as a walk by dictionary gives it."""
+    query = op6_chat_format(spark, tiny)
+    assert "start" in query._jdf.queryExecution().optimizedPlan().toString() and "aggregate(" in query._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in spark.read.parquet(f"{tiny}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    by = {-1: [(0, "user", ""), (1, "assistant", "")]}
+    for c, turn, role, text in rows:
+        by.setdefault(c, []).append((turn, role or "", text or ""))
+    want = {}
+    for c, turns in by.items():
+        state, bad = "start", None
+        for k, (_, role, _) in enumerate(sorted(turns)):
+            state = TRANSITIONS.get((state, role))
+            if state is None:
+                bad = k
+                break
+        want[c] = (state in FINAL, bad)
+    assert {r.conv_id: (r.valid, r.first_bad) for r in query.collect()} == want
+
+
+def test_segments_tile_the_text_and_give_the_mask(spark):
+    rows = [(1, 0, "user", "a </s>"), (1, 1, "assistant", "b"), (1, 2, "tool", "é"), (1, 3, "assistant", ""), (1, 4, "assistant", "c [INST] d")]
+    (r,) = format_chats(table(spark, rows)).collect()
+    at = 0
+    for s in r.segments:
+        assert s.start == at and r.formatted[at : at + len(s.text)] == s.text
+        at += len(s.text)
+    assert at == len(r.formatted)
+    assert [(s.start, len(s.text)) for s in r.segments if s.loss] == [tuple(s) for s in r.loss_spans]
 
 
 def test_mask_covers_assistant_texts_only(spark):
