@@ -42,7 +42,19 @@ def test_stages_take_odd_rows(spark, tiny):
         placed = cp.sharding_stage(spark, table, tiny).collect()
         assert len(placed) == table.count() and sorted((r.shard, r.slot) for r in placed) == sorted({(r.shard, r.slot) for r in placed})
     kept = [r.doc_id for r in cp.dedup_stage(spark, docs, tiny).collect()]
-    assert sorted(kept, key=str) == [1, 2, 3, None]
+    assert sorted(kept, key=str) == [1, 2, 2, 3, None]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, tiny):
+    """Of ids 1 and 2, which hold three texts each, every text stays once; a copy and a near copy under other ids go."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (1, text("c")), (1, text("a")), (2, text("d")), (2, text("e")), (2, None), (3, text("b")), (4, text("d") + " end"), (5, text("f")), (5, text("f"))]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, _key int")
+    kept = [(r.doc_id, r.text) for r in cp.dedup_stage(spark, docs, tiny).collect()]
+    texts = [t for _, t in kept]
+    assert len(texts) == len(set(texts))
+    assert {t for t in texts if t} - {text("d"), text("d") + " end"} == {text(c) for c in "abcef"}
+    assert len({text("d"), text("d") + " end"} & set(texts)) == 1 and (2, None) in kept
 
 
 def test_prefix_sums(spark):
