@@ -3,13 +3,18 @@
 Semantics (`secret_spans`)
     Base spans, leftmost and non-overlapping within each kind: `assign` is a keyword, a separator and a value of 8 or more
     characters; `access` is AKIA and capitals or digits, 16 or more in all; `hex` is 32 or more of 0-9a-f. A match that is
-    too short is consumed and dropped. The Markov span kind, `markov`, covers what base spans leave of a run of CANDIDATE
-    characters if it is long enough and its mean log-likelihood ratio a transition, random against ordinary, is at least MARGIN.
+    too short is consumed and dropped. The Markov span kind, `markov`, covers the best stretches of what base spans leave of
+    a run of CANDIDATE characters: stretches of LEAST characters or more whose sum of log-likelihood ratios a transition,
+    random against ordinary, is the greatest that their beginning reaches, and at least SCORE. A stretch begins where the
+    sum of what is before it would not help it, and is closed once the sum has fallen by DROP, so words around a random
+    string in one run do not hide it, and one run may hold several; its ends are widened to the joints (JOINTS) around
+    it, never over another one.
     Positions are code points, end exclusive. A null text is empty and has no span. Every row is judged on its own:
     repeated rows agree, other columns pass through, an empty table gives an empty result.
 
 Models
-    One transition table for each class, estimated with add-half smoothing from labelled samples: `random` (digests written
+    One transition table for each class, estimated from labelled samples, each row backed off to the class's characters
+    with the weight of BACKOFF counts, so that a pair of letters which the samples lack is not taken for random: `random` (digests written
     in several alphabets, made by rule from a counter) and `ordinary` (identifiers of the words of a bounded table of
     prose in snake, kebab, camel and plain joins). The tables have one cell for each pair of the fixed alphabet, so what
     reaches the driver, and then every task as a literal, is of constant size.
@@ -30,11 +35,13 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Kind: pattern, group whose length counts, least length. A short `assign` match is consumed before it is dropped.
 BASE = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32)}
-LEAST = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: A candidate is reported from this mean log-likelihood ratio a transition on.
-MARGIN = 0.2
+#: Characters of a reported stretch at least; its least sum of log-likelihood ratios; the fall of the sum that closes it.
+LEAST, SCORE, DROP = 16, 8.0, 25.0
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: What joins words in a run; stretches are widened up to these. They are the last characters of the alphabet.
+JOINTS = "_=-"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+BACKOFF = 500
 #: Labelled samples of each class at most.
 SAMPLES = 5_000
 
@@ -67,10 +74,11 @@ def train(samples: DataFrame) -> list[float]:
     k = len(ALPHABET) + 1
     at = samples.where(F.length("token") > 1).select("is_random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, 2))).alias("pair"))
     coded = at.select("is_random", _code(F.substring("pair", 1, 1)).alias("a"), _code(F.substring("pair", 2, 1)).alias("b"))
-    n = [[[0.5] * k for _ in range(k)] for _ in range(2)]
+    n = [[[0] * k for _ in range(k)] for _ in range(2)]
     for r in coded.groupBy("is_random", "a", "b").count().collect():
         n[r["is_random"]][r["a"]][r["b"]] += r["count"]
-    log = lambda c, a, b: math.log(n[c][a][b] / sum(n[c][a]))
+    seconds = [[0.5 + sum(row[b] for row in of) for b in range(k)] for of in n]
+    log = lambda c, a, b: math.log((n[c][a][b] + BACKOFF * seconds[c][b] / sum(seconds[c])) / (sum(n[c][a]) + BACKOFF))
     return [log(1, a, b) - log(0, a, b) for a in range(k) for b in range(k)]
 
 
@@ -110,11 +118,17 @@ def _matched(text: Column, pattern: str, group: int) -> Column:
     return F.filter(each, lambda r: r["match"].isNotNull())  # without the text after the last match
 
 
-def located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """array of (start, kind, end, token) of the matches of pattern whose group has `least` characters or more.
+def matched(text: Column, pattern: str, group: int) -> Column:
+    """struct(rows, rest): the matches as `_matched` has them and the text after the last; null without any match.
 
-    The texts between the matches come from a split by the same pattern; running sums of the lengths give the positions.
+    Kept as a column of its own, so that positions and blanked text come from one match.
     """
+    rest = F.element_at(F.split(text, pattern, -1), -1)
+    return F.when(text.rlike(pattern), F.struct(_matched(text, pattern, group).alias("rows"), rest.alias("rest")))
+
+
+def located(found: Column, least: int, kind: int) -> Column:
+    """array of (start, kind, end, token) of the matches whose group has `least` characters or more, by running sums of lengths."""
     kept = F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"), F.lit("").alias("token"), F.lit(0).alias("own"))
     none = F.filter(F.array(kept), lambda x: F.lit(False))
 
@@ -127,25 +141,48 @@ def located(text: Column, pattern: str, group: int, least: int, kind: int) -> Co
 
         return F.filter(F.zip_with(rows, before, one), lambda x: x["own"] >= least)
 
-    return F.when(text.rlike(pattern), _let(_matched(text, pattern, group), placed)).otherwise(none)
+    return F.when(found.isNotNull(), _let(found["rows"], placed)).otherwise(none)
 
 
-def blanked(text: Column, pattern: str, group: int, least: int) -> Column:
+def blanked(text: Column, found: Column, least: int) -> Column:
     """The text with blanks for the matches that `located` keeps, as long as it was."""
+    pieces = F.transform(found["rows"], lambda r: F.concat(r["gap"], F.when(r["own"] >= least, F.repeat(F.lit(" "), F.length(r["match"]))).otherwise(r["match"])))
+    return F.when(found.isNotNull(), F.concat(F.array_join(pieces, ""), found["rest"])).otherwise(text)
 
-    def filled(x: Column) -> Column:
-        pieces = F.transform(x["rows"], lambda r: F.concat(r["gap"], F.when(r["own"] >= least, F.repeat(F.lit(" "), F.length(r["match"]))).otherwise(r["match"])))
-        return F.concat(F.array_join(pieces, ""), x["rest"])
-
-    rest = F.element_at(F.split(text, pattern, -1), -1)
-    return F.when(text.rlike(pattern), _let(F.struct(_matched(text, pattern, group).alias("rows"), rest.alias("rest")), filled)).otherwise(text)
 
+def stretches(token: Column, table: list[float]) -> Column:
+    """array of (start, end) in the token: its stretches of greatest sum of ratios that reach LEAST and SCORE, in one pass.
 
-def mean_ratio(token: Column, table: list[float]) -> Column:
-    cells, k = F.lit(table), len(ALPHABET) + 1
+    The pass holds where the part between joints that it is in began (`edge`), the current stretch and its sum, and the
+    greatest sum so far with its end, which moves on (`open`) to the next joint. A stretch
+    is appended to the result only where it is closed, so the work grows with the token's length.
+    """
+    cells, k, plain = F.lit(table), len(ALPHABET) + 1, sum(c not in JOINTS for c in ALPHABET)
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), _code)
-    pairs = lambda codes: F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: F.get(cells, F.coalesce(a * k + b, F.lit(-1))))
-    return F.aggregate(_let(codes, pairs), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / (F.length(token) - 1)
+    step_of = lambda a, b: F.struct(F.get(cells, a * k + b).alias("ratio"), (b <= plain).alias("plain"))
+    pairs = lambda codes: F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), step_of)
+    whole = lambda *names: [F.lit(0).alias(n) for n in names]
+    none = F.filter(F.array(F.struct(*whole("start", "end"))), lambda x: F.lit(False))
+    begin = F.struct(*whole("at", "edge", "start", "end"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.lit(False).alias("open"), none.alias("out"))
+    good = lambda s: (s["top"] >= SCORE) & (s["end"] - s["start"] >= LEAST)
+    closed = lambda s: F.when(good(s), F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        total, at = s["sum"] + x["ratio"], s["at"] + 1  # at: the place of the pair's second character
+        over, rises, goes_on = (total <= 0) | (total < s["top"] - DROP), total > s["top"], s["open"] & x["plain"]
+        edge = F.when(x["plain"], s["edge"]).otherwise(at + 1)
+        return F.struct(
+            at.alias("at"),
+            edge.alias("edge"),
+            F.when(over, F.when(good(s), F.greatest(at, edge)).otherwise(F.greatest(edge, F.coalesce(F.get(s["out"], F.size(s["out"]) - 1)["end"], F.lit(0))))).otherwise(s["start"]).alias("start"),
+            F.when(~over & (rises | goes_on), at + 1).when(over, at).otherwise(s["end"]).alias("end"),
+            F.when(over, 0.0).otherwise(total).alias("sum"),
+            F.when(over, 0.0).when(rises, total).otherwise(s["top"]).alias("top"),
+            (~over & (rises | goes_on)).alias("open"),
+            F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(_let(codes, pairs), begin, step, closed)
 
 
 def written(spans: Column) -> Column:
@@ -159,14 +196,25 @@ def secret_spans(documents: DataFrame, table: list[float], text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, every = free_name(documents, "_base"), free_name(documents, "_spans")
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    found = [located(text, p, g, n, k) for k, (p, g, n) in enumerate(BASE.values())]
-    out = documents.withColumn(base, F.sort_array(bare(F.concat(*found))))
-    rest, masked = free_name(out, "_rest"), text
-    for pattern, group, least in BASE.values():
-        masked = blanked(masked, pattern, group, least)
-    out = out.withColumn(rest, masked)
-    likely = F.filter(located(F.col(rest), CANDIDATE, 0, LEAST, len(BASE)), lambda t: mean_ratio(t["token"], table) >= MARGIN)
-    return out.withColumn(every, F.sort_array(F.concat(F.col(base), bare(likely)))).drop(rest), base, every
+    patterns = list(BASE.values())
+    out, own, left = documents, [], []
+    for k, (pattern, group, _) in enumerate(patterns):
+        own.append(free_name(out, f"_found_{k}"))
+        out = out.withColumn(own[-1], matched(text, pattern, group))
+    rest, same = text, F.lit(True)
+    for k, (pattern, group, least) in enumerate(patterns):
+        # what no kind before has blanked is matched already
+        found = F.when(same, F.col(own[k])).otherwise(matched(rest, pattern, group)) if k else F.col(own[k])
+        left += [free_name(out, f"_left_{k}"), free_name(out, f"_rest_{k}")]
+        out = out.withColumn(left[-2], found)
+        out = out.withColumn(left[-1], blanked(rest, F.col(left[-2]), least))
+        rest, same = F.col(left[-1]), same & F.col(left[-2]).isNull()
+    runs = free_name(out, "_runs")
+    out = out.withColumn(base, F.sort_array(bare(F.concat(*(located(F.col(c), n, k) for k, (c, (_, _, n)) in enumerate(zip(own, patterns, strict=True)))))))
+    out = out.withColumn(runs, matched(rest, CANDIDATE, 0))
+    random = lambda t: F.transform(stretches(t["token"], table), lambda s: F.struct((t["start"] + s["start"]).alias("start"), t["kind"].alias("kind"), (t["start"] + s["end"]).alias("end")))
+    likely = F.flatten(F.transform(located(F.col(runs), LEAST, len(BASE)), random))
+    return out.withColumn(every, F.sort_array(F.concat(F.col(base), likely))).drop(*own, *left, runs), base, every
 
 
 def scan(documents: DataFrame, prose: DataFrame) -> DataFrame:
