@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.scores import alert_fold
 
 #: Letters of the stretches that names are indexed by; shorter keywords are looked up by all of theirs.
 GRAM = 3
+#: Slices for each doubling of a price, by which the prices that one watch sees are dealt over tasks.
+STEPS = 16
 
 
 def _grams(text: Column, n: Column) -> Column:
@@ -46,3 +48,40 @@ def alert_offers(offers: DataFrame, alerts: DataFrame, name: str = "product_name
     any_chain = (F.size("chains") == 0) | F.array_contains("chains", F.col("chain"))
     passed = any_chain & (F.col("cat").isNull() | (F.col("cat") == F.col("category"))) & (F.col("top").isNull() | (F.col("price") <= F.col("top").cast("double")))
     return pairs.where(passed).select("alert", *(F.col(f"`{c}`") for c in offers.columns))
+
+
+def _price_slice(price: Column) -> Column:
+    """Grows with the price; one slice for what is not above 0, one for infinity and NaN."""
+    return F.when(price <= 0, -20_000).when(price < float("inf"), F.floor(F.log2(price) * STEPS).cast("int")).otherwise(20_000)
+
+
+def alert_counts(offers: DataFrame, alerts: DataFrame, name: str = "product_name") -> DataFrame:
+    """(alert, hits): how many offers each alert finds, of `alert_offers`' rules, without a pair of alert and offer; alerts without any are left out.
+
+    Alerts of one keyword, chains and category are one watch and differ by their price only: a watch counts its offers up to
+    each price once. Offers are counted by name, chain, category and price, and meet the watches that hold them; the prices of
+    a watch are summed in slices, with one total for each slice before them. The work follows the offers and the alerts apart.
+    """
+    groups = offers.groupBy(F.col(name).alias("_name"), "chain", "category", F.col("price").cast("double").alias("_price")).agg(F.count("*").alias("_n"))
+    names = groups.select(F.col("_name").alias("name")).dropna().distinct().withColumn("folded", alert_fold(F.col("name")))
+    keyed = alerts.select("alert", "chains", F.nullif("cat", F.lit("")).alias("cat"), F.col("top").cast("double").alias("top"), alert_fold(F.col("word")).alias("keyword"))
+    keyed = keyed.where("chains is not null").withColumn("watch", F.sha2(F.to_json(F.struct("keyword", F.array_sort("chains").alias("chains"), "cat")), 256))
+    watches = keyed.groupBy("watch").agg(F.first("keyword").alias("keyword"), F.first("chains").alias("chains"), F.first("cat").alias("cat"))
+    hits = watches.join(keyword_hits(names, keyed), "keyword").select("watch", "chains", "cat", F.col("name").alias("_name"))
+    sides = [hits.where("cat is null").drop("cat"), hits.where("cat is not null").withColumnRenamed("cat", "category")]
+    any_chain = (F.size("chains") == 0) | F.array_contains("chains", F.col("chain"))
+    seen = [groups.join(side, [c for c in ("_name", "category") if c in side.columns]).where(any_chain).select("watch", "_price", "_n") for side in sides]
+    counted = seen[0].unionByName(seen[1]).groupBy("watch", "_price").agg(F.sum("_n").alias("_n"))
+
+    dear = F.col("_price").isNotNull()
+    whole = counted.groupBy("watch").agg(F.sum("_n").alias("_whole"))
+    tops = keyed.where("top is not null").select("watch", F.col("top").alias("_price")).distinct()
+    both = counted.where(dear).withColumn("_asked", F.lit(False)).unionByName(tops.withColumn("_n", F.lit(0).cast("long")).withColumn("_asked", F.lit(True)))
+    both = both.withColumn("_slice", _price_slice(F.col("_price")))
+    before = Window.partitionBy("watch").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.groupBy("watch", "_slice").agg(F.sum("_n").alias("_all")).select("watch", "_slice", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("watch", "_slice").orderBy("_price", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = both.withColumn("_in", F.sum("_n").over(within)).where("_asked").join(offsets, ["watch", "_slice"]).select("watch", F.col("_price").alias("top"), (F.col("_in") + F.col("_before")).alias("hits"))
+    priced = keyed.where("top is not null").select("alert", "watch", "top").join(upto, ["watch", "top"]).select("alert", "hits")
+    free = keyed.where("top is null").select("alert", "watch").join(whole, "watch").select("alert", F.col("_whole").alias("hits"))
+    return priced.unionByName(free).groupBy("alert").agg(F.sum("hits").alias("hits")).where("hits > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketlens.bindings import live_offers, products, sql, table
 from basketlens.functions.scores import relevance, search_terms
 from basketlens.functions.text import ACCENTED, PLAIN, contains_any, escape_html, fold, fold_term, mirror_path, tokens, word_tokens
-from basketlens.operators.alerts import alert_offers
+from basketlens.operators.alerts import alert_counts, alert_offers
 from basketlens.operators.compare import top_overlaps
 from basketlens.registry import register
 
@@ -74,7 +74,7 @@ _EVERY = "SELECT product_id AS alert, substr(product_name, 1, 4) AS word, catego
 def every_product_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many alerts as there are products: how many offers each has found."""
     alerts = products(spark, sf_dir).select(F.col("product_id").alias("alert"), F.substring("product_name", 1, 4).alias("word"), F.array().cast("array<string>").alias("chains"), F.col("category").alias("cat"), (F.col("retail_price") * 20).alias("top"))
-    return alert_offers(live_offers(spark, sf_dir), alerts).groupBy("alert").agg(F.count("*").alias("hits"))
+    return alert_counts(live_offers(spark, sf_dir), alerts)
 
 
 @register("first_alert_hit", sql("""WITH a AS (SELECT * FROM (VALUES ('a1', 'bolt'), ('a2', 'gear')) v(alert, word))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.functions.scores import alert_matches, relevance, search_terms
-from basketlens.operators.alerts import alert_offers
+from basketlens.operators.alerts import alert_counts, alert_offers
 from basketlens.operators.search import TrigramIndex
 
 WORDS = ["γάλα", "ΓΑΛΑ", "χυμός", "χυμο", "milk", "a", "oil 1l", "ψωμί", "beer", "ένα δύο", "x*y", "  tea "]
@@ -23,6 +23,22 @@ def test_alerts_equal_all_pairs(spark):
     assert alert_offers(offers, alerts.withColumn("word", F.lit(""))).count() == 0 == alert_offers(offers.limit(0), alerts).count()
 
 
+def test_counts_equal_pairs_and_make_none(spark):
+    rng = random.Random(5)
+    prices = [1.0, 2.5, 9.0, 0.0, -1.0, None, float("inf"), float("nan"), 1e6]
+    offers = spark.createDataFrame([(i, None if i % 31 == 0 else " ".join(rng.sample(WORDS, rng.randint(1, 3))), rng.choice(["A", "B", None]), rng.choice(["c", "d", None]), rng.choice(prices)) for i in range(300)], "offer_id long, product_name string, chain string, category string, price double")
+    alerts = spark.createDataFrame([(i % 250, rng.choice([*WORDS, "γαλ", "μ", "b", "zzz", "*", ""]), rng.choice([[], ["A"], ["B", "A"], ["A", "B"], None]), rng.choice([None, "", "c"]), rng.choice([*prices, 2.0, 5.0])) for i in range(400)], "alert long, word string, chains array<string>, cat string, top double")
+    want = alert_offers(offers, alerts).groupBy("alert").count().collect()
+    got = alert_counts(offers, alerts).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 100
+    assert alert_counts(offers.limit(0), alerts).count() == 0 == alert_counts(offers, alerts.limit(0)).count()
+    # a billion pairs of one watch: counted, not made
+    many = spark.range(40_000).select(F.col("id").alias("offer_id"), F.lit("milk").alias("product_name"), F.lit("A").alias("chain"), F.lit("c").alias("category"), (F.col("id") + 1).cast("double").alias("price"))
+    watchers = spark.range(40_000).select(F.col("id").alias("alert"), F.lit("milk").alias("word"), F.array().cast("array<string>").alias("chains"), F.lit("c").alias("cat"), F.col("id").cast("double").alias("top"))
+    found = alert_counts(many, watchers)
+    assert found.count() == 39_999 and found.where("hits <> alert").count() == 0
+
+
 def test_names_are_matched_once_and_rare_letters_decide(spark):
     """100,000 alerts over names that share all but a few letters: as many hits as there are, and no more candidates."""
     offers = spark.range(20_000).select(F.col("id").alias("offer_id"), F.concat(F.lit("common name "), F.conv((F.col("id") % 500 + 500_000_000).cast("string"), 10, 36)).alias("product_name"), F.lit("A").alias("chain"), F.lit("c").alias("category"), F.lit(1.0).alias("price"))
