@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketlens.functions.packs import quantity_conflict
-from basketlens.functions.text import fold, to_greek, word_tokens
+from basketlens.functions.text import fold, let, to_greek, word_tokens
 
 FLOOR = 0.5
 BAND = 0.05
@@ -44,7 +44,7 @@ def salient_tokens(name: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    return token_similarity(salient_tokens(a), salient_tokens(b))
+    return let(F.struct(salient_tokens(a).alias("a"), salient_tokens(b).alias("b")), lambda t: token_similarity(t["a"], t["b"]))
 
 
 def token_similarity(ta: Column, tb: Column) -> Column:
@@ -55,8 +55,8 @@ def token_similarity(ta: Column, tb: Column) -> Column:
         free = acc["free"]
         prefix = F.filter(free, lambda u: ~t.rlike("[0-9]") & ~u.rlike("[0-9]") & (t.startswith(u) | u.startswith(t)))
         pick = F.when(F.array_contains(free, t), t).otherwise(F.get(prefix, F.lit(0)))
-        rest = F.when(pick.isNotNull(), F.filter(free, lambda u: u != pick)).otherwise(free)
-        return F.struct(rest.alias("free"), (acc["n"] + pick.isNotNull().cast("int")).alias("n"))
+        rest = lambda p: F.when(p.isNotNull(), F.filter(free, lambda u: u != p)).otherwise(free)
+        return let(pick, lambda p: F.struct(rest(p).alias("free"), (acc["n"] + p.isNotNull().cast("int")).alias("n")))
 
     shared = F.aggregate(ta, F.struct(tb.alias("free"), F.lit(0).alias("n")), take, lambda s: s["n"])
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(shared / (F.size(ta) + F.size(tb) - shared))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from basketlens.bindings import observations, offers, products, sql, ts
 from basketlens.functions.packs import pack_count
-from basketlens.functions.similarity import name_similarity
+from basketlens.functions.similarity import salient_tokens, token_similarity
+from basketlens.functions.text import let
 from basketlens.operators.catalog_run import CatalogRun, run_catalog
 from basketlens.operators.offer_run import Catalog, Run, run_offers
 from basketlens.operators.ranking import best_per_key
@@ -114,13 +115,24 @@ _AUDIT = """WITH a AS (SELECT p.product_id, list_distinct(string_split(p.product
 @register("mapping_audit", sql(f"""{_AUDIT}, s AS (SELECT product_id, len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) AS score, n = m AS same FROM a)
     SELECT product_id, CASE WHEN score < 0.34 THEN 'BAD' WHEN score < 0.5 THEN 'SUSPECT' WHEN NOT same THEN 'PACK' ELSE 'OK' END AS band FROM s"""))
 def mapping_audit(spark: SparkSession, sf_dir: str, hard: float = 0.34, suspect: float = 0.5) -> DataFrame:
-    """Mappings (here of each product to the next) graded by the likeness of the two names, then by their packs."""
+    """Mappings (here of each product to the next) graded by the likeness of the two names, then by their packs.
+
+    Names are read once each and pairs of names compared once each, dealt by name, however many products have them.
+    """
     p = products(spark, sf_dir)
     label = F.concat_ws(" ", "product_name", F.lower("category"))
     left = p.select("product_id", label.alias("name"), (F.col("size") % 2 + 1).alias("n"))
     right = p.select((F.col("product_id") - 1).alias("product_id"), label.alias("other"), (F.col("size") % 2 + 1).alias("m"))
     pairs = left.join(right, "product_id")
+    known = left.select("name").distinct().withColumn("tokens", salient_tokens(F.col("name")))
     packed = lambda name, n: F.when(F.col(n) > 1, F.concat_ws(" ", F.lit("2x5"), name)).otherwise(F.col(name))
-    score = name_similarity(F.col("name"), F.col("other"))
+    likeness = pairs.select("name", "other", "n", "m").distinct()
+    likeness = likeness.join(known, "name").join(known.select(F.col("name").alias("other"), F.col("tokens").alias("others")), "other")
     same = pack_count(packed("name", "n")) == pack_count(packed("other", "m"))
-    return pairs.select("product_id", F.when(score < hard, "BAD").when(score < suspect, "SUSPECT").when(~same, "PACK").otherwise("OK").alias("band"))
+    graded = let(
+        F.struct(token_similarity(F.col("tokens"), F.col("others")).alias("score"), same.alias("same")),
+        lambda x: F.when(x["score"] < hard, "BAD").when(x["score"] < suspect, "SUSPECT").when(~x["same"], "PACK").otherwise("OK"),
+    )
+    bands = likeness.select("name", "other", F.col("n").alias("_n"), F.col("m").alias("_m"), graded.alias("band"))
+    fits = F.col("n").eqNullSafe(F.col("_n")) & F.col("m").eqNullSafe(F.col("_m"))
+    return pairs.join(bands.withColumnsRenamed({"name": "_a", "other": "_b"}), (F.col("name") == F.col("_a")) & (F.col("other") == F.col("_b")) & fits).select("product_id", "band")

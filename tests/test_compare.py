@@ -1,11 +1,13 @@
 """Overlap and comparable joins against all pairs, with hot tokens and names of variants and quantities."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from basketlens import plans, registry  # noqa: F401
 from basketlens.functions.similarity import comparable
 from basketlens.operators.compare import _Overlaps, comparable_pairs, overlaps_of, top_overlaps
 
@@ -88,3 +90,13 @@ def test_a_block_of_one_common_word_is_not_squared(spark):
     names = spark.createDataFrame([("x", f"{words[(7 * i) % 17576]}{i} {words[(11 * i + 5) % 17576]}{i} fage") for i in range(3000)], "block string, name string")
     plan = comparable_pairs(names, "block", "name")
     assert plan.count() == 0
+
+
+def test_audit_reads_a_name_once(spark, tmp_path):
+    """300,000 products of three names: three names are folded and six pairs compared, not one for each product."""
+    part = spark.range(300_000).select(F.col("id").alias("p_partkey"), F.element_at(F.array(F.lit("old bolt"), F.lit("old boltz"), F.lit("red gear")), (F.col("id") % 3 + 1).cast("int")).alias("p_name"), F.lit("PROMO").alias("p_type"), F.lit("b").alias("p_brand"), F.when(F.col("id") % 7 > 0, (F.col("id") % 2).cast("int")).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    started = time.monotonic()
+    got = {(r.place, r.band): r["count"] for r in registry.QUERIES["mapping_audit"](spark, str(tmp_path)).groupBy((F.col("product_id") % 3).alias("place"), "band").count().collect()}
+    assert time.monotonic() - started < 60  # row by row it took more than twice that on one core
+    assert sum(got.values()) == 299_999 and {(p, b) for p, b in got} == {(0, "OK"), (0, "PACK"), (1, "BAD"), (2, "BAD")}
