@@ -4,8 +4,10 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from basketlens.operators import asof
 from basketlens.operators.asof import as_of, last_known, neighbour
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -67,3 +69,18 @@ def test_a_hot_key_is_dealt_over_its_months(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2 and sum("_n_slice" in w.split("], [")[1] for w in windows) == 1
     assert df.groupBy(F.date_trunc("month", "at")).count().agg(F.max("count")).collect()[0][0] <= 93
+
+
+@pytest.mark.parametrize("hot", [0, 250, 10**6])
+def test_hot_and_other_keys_agree_with_one_window(spark, monkeypatch, hot):
+    """All keys sliced, the hot one alone, or none: the same values, and the rows are shuffled once."""
+    monkeypatch.setattr(asof, "HOT", hot)
+    df = spark.createDataFrame(rows(6, 500), SCHEMA)
+    whole = Window.partitionBy("k").orderBy("at", "n")
+    want = df.select("n", F.lag("v").over(whole), F.lead("v").over(whole), F.last("v", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))).collect()
+    month, order = F.date_trunc("month", "at"), ["at", "n"]
+    made = neighbour(df, ["k"], month, order, "v", "a"), neighbour(df, ["k"], month, order, "v", "b", forward=True), last_known(df, ["k"], month, order, "v", "c")
+    got = [{r["n"]: r[name] for r in one.collect()} for one, name in zip(made, "abc", strict=True)]
+    assert all((got[0][n], got[1][n], got[2][n]) == tuple(values) for n, *values in want) and {len(g) for g in got} == {500}
+    for one in made:  # the rows; edges of hot keys by slice and key; counts of buckets, once in each of two branches
+        assert one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("SortMergeJoin") == 0
