@@ -16,10 +16,14 @@ from basketlens.functions.text import let
 
 #: Postings for each of its k matches that the rarest tokens of a row may read before its k-th score bounds the rest.
 PROBE = 20
+#: Distinct tokens of left rows that are sent to every task; with more of them, tokens are shuffled.
+SENT = 200_000
+#: Parts by which tokens are numbered.
+PARTS = 4096
 
 
 class _Overlaps:
-    """Both sides of an overlap join. Right rows with the same token list are one set; a row's tokens stand by rarity on the right.
+    """Both sides of an overlap join. Right rows with the same token list (by its SHA-256) are one set; a row's tokens stand by rarity on the right.
 
     `ranked` has a row for each distinct token of a left row that occurs on the right: `_upto`, the postings of it and of the
     rarer tokens, `_place` among them, and `_rest`, how much it and the commoner ones can add to a score. A set that shares none of the rarer tokens
@@ -29,22 +33,31 @@ class _Overlaps:
     def __init__(self, left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: int | None = None):
         """With `least` only the first so many right rows of each set, cut before they are shuffled."""
         self.left_id, self.right_id = left_id, right_id
-        named = right.select(F.col(right_id), F.col("tokens").alias("_all")).where(F.size("_all") > 0)
-        equal = Window.partitionBy("_all")
+        counted = left.select(F.col(left_id), F.explode("tokens").alias("_t")).groupBy(left_id, "_t").agg(F.count("*").alias("_n"))
+        self.sent = F.broadcast if counted.count() <= SENT else lambda df: df
+        # tokens that no left row has decide nothing; the others go by number, so that long rows are short lists to shuffle
+        part = F.pmod(F.xxhash64("_t"), F.lit(PARTS)).cast("int")
+        words = counted.select("_t").distinct().withColumn("_part", part)
+        words = words.select("_t", (F.col("_part") + PARTS * (F.row_number().over(Window.partitionBy("_part").orderBy("_t")) - 1)).alias("_code"))
+        counted = counted.join(self.sent(words), "_t").select(left_id, F.col("_code").alias("_t"), "_n")
+        whole = F.unhex(F.sha2(F.to_json("tokens"), 256))
+        held = right.where(F.size("tokens") > 0).select(right_id, F.size("tokens").alias("_size"), whole.alias("_whole"), F.explode(F.array_distinct("tokens")).alias("_t"))
+        named = held.join(self.sent(words), "_t").groupBy(right_id, "_size", "_whole").agg(F.sort_array(F.collect_set("_code")).alias("_all"))
+        equal = Window.partitionBy("_whole")
         if least is not None:
             named = named.withColumn("_place", F.row_number().over(equal.orderBy(right_id))).where(F.col("_place") <= least).drop("_place")
         # read five times below; blocks of a lost executor are made again, and clearCache() gives the room back
         named = named.withColumn("_set", F.min(right_id).over(equal)).persist(StorageLevel.MEMORY_AND_DISK)
         self.members = named.select(right_id, "_set")
-        self.sets = named.where(F.col(right_id) == F.col("_set")).select("_set", F.size("_all").alias("_size"), F.array_distinct("_all").alias("_tokens"))
+        self.sets = named.where(F.col(right_id) == F.col("_set")).select("_set", "_size", F.col("_all").alias("_tokens"))
         self.postings = self.sets.select("_set", "_size", F.explode("_tokens").alias("_t"))
-        counted = left.select(F.col(left_id), F.explode("tokens").alias("_t")).groupBy(left_id, "_t").agg(F.count("*").alias("_n"))
         self.weights = counted.groupBy(left_id).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_n"))).alias("_weights"), F.sum("_n").alias("_total"))
         rarity = Window.partitionBy(left_id).orderBy("_df", "_t")
         upto = F.sum("_df").over(rarity.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rest = F.sum("_n").over(rarity.rowsBetween(Window.currentRow, Window.unboundedFollowing))
         frequency = self.postings.groupBy("_t").agg(F.count("*").alias("_df"))
-        self.ranked = counted.join(frequency, "_t").select(left_id, "_t", upto.alias("_upto"), F.row_number().over(rarity).alias("_place"), rest.alias("_rest"))
+        ranked = counted.join(frequency, "_t").select(left_id, "_t", upto.alias("_upto"), F.row_number().over(rarity).alias("_place"), rest.alias("_rest"))
+        self.ranked = self.sent(ranked)
 
     def scored(self, hits: DataFrame) -> DataFrame:
         """The exact score of each (left row, set) once, from whole token lists."""
@@ -70,7 +83,7 @@ def top_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     rare = (F.col("_upto") <= PROBE * k) | (F.col("_place") == 1)
     first = sides.scored(sides.ranked.where(rare).join(sides.postings, "_t"))
     bound = best(first).groupBy(left_id).agg(F.when(F.count("*") == k, F.min("score")).alias("_bound"))
-    open_ = sides.ranked.where(~rare).join(bound, left_id, "left").where(F.col("_rest") >= F.coalesce("_bound", F.lit(1)))
+    open_ = sides.sent(sides.ranked.where(~rare).join(bound, left_id, "left").where(F.col("_rest") >= F.coalesce("_bound", F.lit(1))))
     more = sides.scored(open_.join(sides.postings, "_t").select(left_id, "_set").join(first.select(left_id, "_set"), [left_id, "_set"], "left_anti"))
     return best(first.unionByName(more))
 
@@ -83,7 +96,7 @@ def overlaps_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     if not floor > 0:
         raise ValueError("a floor of 0 lets every pair pass")
     sides = _Overlaps(left, right, left_id, right_id)
-    ranked = sides.ranked.join(sides.weights.select(left_id, "_total"), left_id)
+    ranked = sides.sent(sides.ranked.join(sides.weights.select(left_id, "_total"), left_id))
     shorter = F.least("_total", "_size")
     hits = ranked.join(sides.postings, "_t").where(F.col("_rest") / shorter >= floor)
     pairs = sides.scored(hits).withColumn("share", F.col("score") / shorter).where(F.col("share") >= floor)

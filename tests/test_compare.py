@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlens import plans, registry  # noqa: F401
 from basketlens.functions.similarity import comparable
+from basketlens.operators import compare
 from basketlens.operators.compare import _Overlaps, comparable_pairs, overlaps_of, top_overlaps
 
 
@@ -58,6 +59,18 @@ def test_common_tokens_are_not_paired_where_a_rare_one_decides(spark):
     assert sum(h.select("l", "_set").distinct().count() for h in made) == 50 * 8  # of 200,000 pairs that share a token
 
 
+def test_long_rows_are_shuffled_as_short_lists(spark, monkeypatch):
+    """Of right rows only tokens of the left side are kept, as numbers; with a left side too large to send, the same rows come by shuffles."""
+    left, right = [(i, [f"word{i}", "common", "common"]) for i in range(20)], [(i, [f"word{i % 40}", "common", *(f"other{i}x{j}" for j in range(300))]) for i in range(120)]
+    a, b = tables(spark, left, right)
+    sides = _Overlaps(a, b, "l", "r")
+    assert dict(sides.sets.dtypes)["_tokens"] == "array<int>" and sides.sets.agg(F.max(F.size("_tokens"))).collect()[0][0] == 2
+    want = {(i, j, 3) for i in range(20) for j in (i, i + 40, i + 80)}
+    for sent in (compare.SENT, -1):
+        monkeypatch.setattr(compare, "SENT", sent)
+        assert {tuple(r) for r in top_overlaps(a, b, "l", "r", 3).select("l", "r", "score").collect()} == want
+
+
 @pytest.mark.parametrize("floor", [0.3, 0.6, 1.0])
 def test_overlaps_of_equal_all_pairs(spark, floor):
     left, right = token_rows(3, 50), token_rows(4, 200)
